@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
-from .common import table
+from . import chat, decontaminate, mixing, quality, secrets, warc
+from .common import shared_dir, stored, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,70 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _spans_text(spans: str) -> str:
+    """SQL for kind:start:end of an array of spans, comma-joined."""
+    return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.expr("aggregate(found.hits, 0L, (n, h) -> n + h.end - h.start)").alias("n_hit"),
+        F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        (F.size("found.hits") > 0).alias("contaminated"),
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = f"filter(secrets, s -> s.kind IN {secrets.BASE})"
+    return scanned.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(secrets, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(F.expr(_spans_text(base)), 256).alias("base_sha256"),
+        F.expr(_spans_text("secrets")).alias("spans"),
+    )
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+    turns = chat.read_back(F.col("formatted"))
+    under = chat.masked(F.col("formatted"), F.col("loss"))
+    return made.select("conv_id", turns.alias("turns"), under.alias("under"), F.char_length("formatted").cast("bigint").alias("formatted_chars")).select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.expr("array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')"), 256).alias("turns_sha256"),
+        F.char_length("under").cast("bigint").alias("loss_chars"),
+        F.sha2("under", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/plumbline/warc-{uuid.uuid4().hex}"
+    warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
+    return warc.with_originals(stored(warc.read(spark, path), "warc-index"))
+
+
+#: The conversation that the chat query adds says this in both its turns.
+PROBE = "\\### Assistant: </turn> ok"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_chat_format": op7_chat_format,
+    "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLE_SQL: dict[str, str] = {}
