@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, secrets, warc
+from . import chat, decontaminate, mixing, neardup, quality, secrets, warc
 from .common import shared_dir, stored, table
 
 
@@ -34,6 +34,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = f"filter(secrets, s -> s.kind IN {secrets.BASE})"
@@ -76,6 +80,7 @@ PROBE = "\\### Assistant: </turn> ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op5_near_dup": op5_near_dup,
     "op6_secret_scan": op6_secret_scan,
     "op7_chat_format": op7_chat_format,
     "op8_source_mix": op8_source_mix,
