@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, neardup, quality, secrets, warc
+from . import chat, decontaminate, extract, mixing, neardup, quality, secrets, warc
 from .common import shared_dir, stored, table
 
 
@@ -22,6 +22,10 @@ def _spans_text(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -79,6 +83,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBE = "\\### Assistant: </turn> ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op3_decontamination": op3_decontamination,
     "op5_near_dup": op5_near_dup,
     "op6_secret_scan": op6_secret_scan,
