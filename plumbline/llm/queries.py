@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, mixing, neardup, quality, secrets, warc
+from . import chat, decontaminate, extract, linededup, mixing, neardup, quality, secrets, warc
 from .common import shared_dir, stored, table
 
 
@@ -38,6 +38,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "text", "removed_lines")
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ PROBE = "\\### Assistant: </turn> ok"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_dup": op5_near_dup,
     "op6_secret_scan": op6_secret_scan,
     "op7_chat_format": op7_chat_format,
