@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, linededup, mixing, neardup, quality, secrets, warc
+from . import chat, classlm, decontaminate, extract, linededup, mixing, neardup, quality, secrets, warc
 from .common import shared_dir, stored, table
 
 
@@ -26,6 +26,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -89,6 +93,7 @@ PROBE = "\\### Assistant: </turn> ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_class_lm": op2_class_lm,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_dup": op5_near_dup,
