@@ -31,13 +31,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Buckets of the frequency table: one row of so many counts, whatever the corpus.
 BUCKETS = 1 << 18
 #: Prefixes that share a token from which its list counts as hot, and how many early lines stand for it.
-HOT, CENTRES = 64, 8
+HOT, CENTRES = 512, 8
+#: Hot tokens up to which they are broadcast (4 bytes each); beyond, the join shuffles.
+BROADCAST_TOKENS = 200_000
 #: Longs of the bitmap of positions whose words the verification reads.
 POSITION_LONGS = 1 << 15
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+    """The words in lower case. Splitting at single spaces is much cheaper than at a class, and nearly all texts need no more."""
+    low = F.lower(text)
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
+    return F.array_remove(F.when(odd, F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
 def _bucket(h: Column) -> Column:
@@ -56,11 +61,16 @@ def _dense(counts: DataFrame, slot: str, value: str, size: int) -> DataFrame:
     return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("all_slot", "v"))), lambda s: s["v"]).alias("dense"))
 
 
-def frequencies(docs: DataFrame, text: str) -> DataFrame:
-    """One row: how many words of the corpus fall in each bucket."""
-    words = docs.select(F.explode(_words(F.col(f"`{text}`"))).alias("w"))
+def frequencies(docs: DataFrame, text: str) -> bytes:
+    """One byte for each bucket of words, higher where more words of the corpus fall: an eighth of an octave a step.
+
+    BUCKETS bytes come to the driver, whatever the corpus.
+    """
+    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("t")).select(F.explode(_words(F.col("t"))).alias("w"))
     counts = words.select(_bucket(F.xxhash64("w")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    return stored(_dense(counts, "slot", "n", BUCKETS), "line-frequencies")
+    level = F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(126)).cast("bigint")
+    dense = _dense(counts.select("slot", level.alias("level")), "slot", "level", BUCKETS)
+    return dense.select(F.array_join(F.transform("dense", lambda v: F.char(v + 1)), "").alias("s")).first()["s"].encode("ascii")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -75,21 +85,26 @@ def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     (h1, h2) names the set; prefix holds the first tokens, rare ones first, as 32-bit hashes.
     """
-    table = frequencies(docs, text).scalar()
-    low = F.lit((1 << 32) - 1)
-    rows = _lines(docs, doc_id, text).select("doc", "rid", "line", F.transform(F.array_distinct(_words(F.col("t"))), lambda w: F.xxhash64(w)).alias("h"))
-    rows = rows.select("doc", "rid", "line", "h", F.size("h").alias("n"), table.alias("freq"))
-    ranked = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.least(F.get("freq", _bucket(x).cast("int")), F.lit((1 << 30) - 1)), 32).bitwiseOR(x.bitwiseAND(low))))
+    table = F.lit(frequencies(docs, text))
+
+    def key(word: Column) -> Column:
+        # The level of the word's bucket on top, then 56 bits of its hash: rare words sort first.
+        h = F.xxhash64(word)
+        level = F.ascii(F.call_function("substring", table, _bucket(h).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    rows = _lines(docs, doc_id, text).select("doc", "rid", "line", F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), key))).alias("keys"))
+    rows = rows.select("doc", "rid", "line", "keys", F.size("keys").alias("n"))
     zero = F.lit(0).cast("bigint")
     return rows.select(
         "doc",
         "rid",
         "line",
-        F.aggregate("h", zero, lambda a, x: a.bitwiseXOR(x)).alias("h1"),
-        F.aggregate("h", zero, lambda a, x: a.bitwiseXOR(F.xxhash64(x))).alias("h2"),
+        F.xxhash64("keys").alias("h1"),
+        F.xxhash64(F.lit(1), F.col("keys")).alias("h2"),
         "n",
-        F.aggregate("h", zero, lambda a, x: a.bitwiseXOR(_bit(F.shiftrightunsigned(x, 58)))).alias("parity"),
-        F.transform(F.slice(ranked, 1, F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").cast("int") + 1), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("prefix"),
+        F.aggregate("keys", zero, lambda a, x: a.bitwiseXOR(_bit(x.bitwiseAND(F.lit(63))))).alias("parity"),
+        F.transform(F.slice("keys", 1, F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").cast("int") + 1), lambda k: F.shiftright(F.shiftleft(k, 8), 32).cast("int")).alias("prefix"),
     )
 
 
@@ -114,24 +129,27 @@ def _named(df: DataFrame, by: str) -> DataFrame:
 
 def matches(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(h1, h2) of the classes that an earlier class is similar to."""
-    posting = classes.select(F.posexplode("prefix").alias("pos", "tok"), "h1", "parity", F.col("n"))
-    hot = posting.groupBy("tok").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= HOT).select(F.col("tok").alias("hot_tok"))
-    first = F.struct("first", "h1", "n", "parity", "pos")
-    hot_rows = classes.select("first", F.posexplode("prefix").alias("pos", "tok"), "h1", "parity", "n").join(hot, F.col("tok") == F.col("hot_tok")).drop("hot_tok")
-    centres = hot_rows.groupBy("tok", F.pmod("h1", F.lit(CENTRES)).alias("part")).agg(F.min(first).alias("c")).select(F.col("tok").alias("c_tok"), *[F.col(f"c.{f}").alias(f"c_{f}") for f in ("first", "h1", "n", "parity", "pos")])
-    near = hot_rows.select(*[F.col(c).alias(f"x_{c}") for c in ("first", "h1", "n", "parity", "pos", "tok")])
-    stars = near.join(centres, (F.col("x_tok") == F.col("c_tok")) & (F.col("c_first") < F.col("x_first")) & _close("x", "c")).select(F.col("x_h1").alias("a"), F.col("c_h1").alias("b")).distinct()
-    early = stored(_verified(docs, classes, stars, doc_id, text), "line-matches")
-
-    done = early.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"))
-    left = classes.join(done, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")), "left").select("h1", "n", "parity", "prefix", F.col("d1").isNotNull().alias("done"))
+    posting = classes.select("first", F.posexplode("prefix").alias("pos", "tok"), "h1", "parity", "n")
+    hot = stored(posting.groupBy("tok").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= HOT).select(F.col("tok").alias("hot_tok")), "line-hot")
+    n_hot = hot.count()
+    early = None
+    left = classes.select("h1", "n", "parity", "prefix", F.lit(False).alias("done"))
+    if n_hot:
+        hot_rows = posting.join(F.broadcast(hot) if n_hot <= BROADCAST_TOKENS else hot, F.col("tok") == F.col("hot_tok")).drop("hot_tok")
+        fields = ("first", "h1", "n", "parity", "pos")
+        centres = hot_rows.groupBy("tok", F.pmod("h1", F.lit(CENTRES)).alias("part")).agg(F.min(F.struct(*fields)).alias("c")).select(F.col("tok").alias("c_tok"), *[F.col(f"c.{f}").alias(f"c_{f}") for f in fields])
+        near = _named(hot_rows, "x")
+        stars = near.join(centres, (F.col("x_tok") == F.col("c_tok")) & (F.col("c_first") < F.col("x_first")) & _close("x", "c")).select(F.col("x_h1").alias("a"), F.col("c_h1").alias("b")).distinct()
+        early = stored(_verified(docs, classes, stars, doc_id, text), "line-matches")
+        done = early.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"))
+        left = classes.join(done, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")), "left").select("h1", "n", "parity", "prefix", F.col("d1").isNotNull().alias("done"))
     rows = left.select("h1", "n", "parity", "done", F.posexplode("prefix").alias("pos", "tok"))
     index = _named(rows.where(F.expr(f"pos <= n - ({2 * NUM} * n + {NUM + DEN - 1}) div {NUM + DEN}")), "x")
     probe = _named(rows, "y")
     order = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_h1") < F.col("y_h1")))
     pairs = index.join(probe, (F.col("x_tok") == F.col("y_tok")) & order & ~(F.col("x_done") & F.col("y_done")) & _close("x", "y"))
     late = _verified(docs, classes, pairs.select(F.col("x_h1").alias("a"), F.col("y_h1").alias("b")).distinct(), doc_id, text)
-    return early.union(late).distinct()
+    return early.union(late).distinct() if early else late
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
