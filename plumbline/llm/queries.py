@@ -63,7 +63,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    own = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(PROBE).alias("text")).withColumn("turn", F.col("turn").cast("bigint"))
     made = chat.format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
     turns = chat.read_back(F.col("formatted"))
     under = chat.masked(F.col("formatted"), F.col("loss"))

@@ -28,6 +28,8 @@ from .common import binary
 MIN_BYTES = 100
 #: Records in one archive file at most, which bounds what a reader holds.
 FILE_RECORDS = 5000
+#: Bytes that a reader unpacks at a time.
+STEP_BYTES = 8 << 10
 #: A gzip member of nothing, which stands between records.
 SEPARATOR = gzip.compress(b"", mtime=0).decode("latin-1")
 DATE = "2024-01-01T00:00:00Z"
@@ -98,14 +100,17 @@ def write(resolved: DataFrame, path: str, date: str = DATE, file_records: int =
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of a file of gzip members."""
-    held = b""
-    rest = data
-    while rest:
+    held, view, place = b"", memoryview(data), 0
+    while place < len(view):
         unpack = zlib.decompressobj(31)
-        held += unpack.decompress(rest) + unpack.flush()
-        if not unpack.eof:
-            raise ValueError("an archive ends within a gzip member")
-        rest = unpack.unused_data
+        parts = []
+        while not unpack.eof:  # in small steps: what a member leaves over is copied
+            if place >= len(view):
+                raise ValueError("an archive ends within a gzip member")
+            parts.append(unpack.decompress(view[place : place + STEP_BYTES]))
+            place += min(STEP_BYTES, len(view) - place)
+        place -= len(unpack.unused_data)
+        held += b"".join(parts)
         at = 0
         while (cut := held.find(b"\r\n\r\n", at)) >= 0:
             lines = held[at:cut].decode().split("\r\n")
@@ -155,13 +160,7 @@ _READ = {"page_id": pa.int64(), "url": pa.string(), "record_id": pa.string(), "r
 
 def with_originals(got: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits joined to their originals by record id."""
+    own = got.where("record_type != 'revisit'").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
     original = got.where("record_type = 'response'").groupBy(F.col("record_id").alias("o_id")).agg(F.min("page_id").alias("o_page"), F.min("payload_bytes").alias("o_bytes"), F.min("digest").alias("o_digest"))
-    joined = got.join(original, F.col("refers_to_id") == F.col("o_id"), "left")
-    again = F.col("record_type") == "revisit"
-    return joined.select(
-        "page_id",
-        F.when(again, F.col("o_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(again, F.col("o_digest")).otherwise(F.col("digest")).alias("payload_digest"),
-        "record_type",
-        F.when(again, F.col("o_page")).alias("refers_to"),
-    )
+    again = got.where("record_type = 'revisit'").join(original, F.col("refers_to_id") == F.col("o_id"), "left")
+    return own.unionByName(again.select("page_id", F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), "record_type", F.col("o_page").alias("refers_to")))
