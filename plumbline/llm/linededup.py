@@ -39,9 +39,9 @@ POSITION_LONGS = 1 << 15
 
 
 def _words(text: Column) -> Column:
-    """The words in lower case. Splitting at single spaces is much cheaper than at a class, and nearly all texts need no more."""
+    """The words of a line in lower case. Splitting at single spaces is much cheaper than at a class, and nearly all texts need no more."""
     low = F.lower(text)
-    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
     return F.array_remove(F.when(odd, F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
 
 
@@ -76,7 +76,9 @@ def frequencies(docs: DataFrame, text: str) -> bytes:
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, rid, line, t) of each line with a word; rid is the text's hash."""
     body = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.xxhash64(body).alias("rid"), F.posexplode(F.split(body, "\n", -1)).alias("line", "t"))
+    # In two steps: else each line would carry its whole text past the generator.
+    split = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.xxhash64(body).alias("rid"), F.split(body, "\n", -1).alias("ts"))
+    rows = split.select("doc", "rid", F.posexplode("ts").alias("line", "t"))
     return rows.where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
 
 
