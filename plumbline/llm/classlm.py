@@ -148,15 +148,17 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the counts (word, n) of all training words as a stored table."""
     counts = stored(count_words(rows), "lm-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    words = [bytes(r["word"]) for r in top]
+    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    words, often = top["word"].to_pylist(), top["n"].to_numpy()
     clustered = {w: k for k, w in enumerate(words[:CLUSTERED])}
     ends = int(counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     n_words = len(clustered)
-    pairs = _pairs(rows, clustered).collect()
+    pairs = _pairs(rows, clustered).toArrow()  # at most (CLUSTERED + SHAPES + 1) squared rows, as columns
     width = n_words + SHAPES + 1
-    triples = np.array([(r["pair"] // width, r["pair"] % width, r["n"]) for r in sorted(pairs, key=lambda r: r["pair"])], dtype=np.int64).reshape(-1, 3)
+    pair, times = pairs["pair"].to_numpy(), pairs["n"].to_numpy()
+    order = np.argsort(pair)
+    triples = np.stack([pair[order] // width, pair[order] % width, times[order]], axis=1).astype(np.int64)
     of = np.concatenate([exchange(triples, n_words, SHAPES + 1), CLASSES + np.arange(SHAPES + 1)])
     n_classes = CLASSES + SHAPES + 1
     step = np.zeros((n_classes, n_classes))
@@ -166,18 +168,18 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     # Each class's words and tokens: clustered words here, all others by shape in one aggregate over the counts.
     tokens, types = np.zeros(n_classes), np.zeros(n_classes)
     for w, k in clustered.items():
-        tokens[of[k]] += top[k]["n"]
+        tokens[of[k]] += often[k]
         types[of[k]] += 1
     tokens[-1], types[-1] = ends, 1
     for r in counts.where(F.col("word") != END).groupBy((F.crc32(F.expr("right(word, 3)")) % SHAPES).alias("shape")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
         tokens[CLASSES + r["shape"]] += r["n"]
         types[CLASSES + r["shape"]] += r["types"]
     for w, k in clustered.items():
-        tokens[CLASSES + shape(w)] -= top[k]["n"]
+        tokens[CLASSES + shape(w)] -= often[k]
         types[CLASSES + shape(w)] -= 1
     head = {w: k for k, w in enumerate(words)}
     classes = np.array([of[clustered[w]] if w in clustered else CLASSES + shape(w) for w in words] + [n_classes - 1], dtype=np.int64)
-    logs = np.log10(np.array([r["n"] for r in top] + [ends], dtype=float) + 1)
+    logs = np.log10(np.append(often, ends).astype(float) + 1)
     return Model(head, logs, classes, steps, np.log10(tokens + types + 1), int(total), int(vocabulary)), counts
 
 
