@@ -6,7 +6,7 @@ attachments, and records its reference and the tokens the placeholder expands to
 under the template, with the ranges of the loss mask (assistant content) beside it.
 
 Template. A turn is ``<|turn:ROLE|>CONTENT<|end|>`` and a line end. Control strings begin with ``<|``, which escaping keeps out
-of roles and texts: a backslash becomes two, and ``<|`` becomes ``<\\|``. Dropping each backslash that stands before a character
+of roles and texts: a backslash becomes two, and ``<|`` becomes ``<\\|`` (in roles ``|>`` also becomes ``|\\>``). Dropping each backslash that stands before a character
 undoes both. Placeholders are ``<|image:N|>``, ``<|audio:N|>`` and ``<|document:N|>``, N counting a conversation's attachments from 1.
 
 Defined results: a null text or role is empty; turns go by (turn, role, text), nulls first, so ties have one order and repeated
@@ -85,7 +85,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
             ),
             "",
         )
-        head = F.concat(state["text"], F.lit("<|turn:"), escaped(t["role"]), F.lit("|>"))
+        head = F.concat(state["text"], F.lit("<|turn:"), F.replace(escaped(t["role"]), F.lit("|>"), F.lit("|\\>")), F.lit("|>"))
         new = F.transform(
             F.filter(marked, lambda m: _is_attachment(m["part"])),
             lambda m: F.struct(m["number"].cast("int").alias("number"), m["part"]["type"].alias("type"), m["part"]["ref"].alias("ref"), _tokens(m["part"]).alias("tokens")),

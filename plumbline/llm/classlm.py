@@ -115,6 +115,7 @@ def exchange(pairs: dict[tuple[int, int], int] | np.ndarray, n_words: int, n_fix
             d = np.diagonal(n)
             gain -= f(d + r) - f(d) + f(d + l) - f(d)
             gain += f(d + r + l + own) - f(d)
+            rows, cols = rows + l, cols + r  # what stands before and after the word counts for its neighbours wherever it goes
             gain -= f(rows + out) - f(rows) + f(cols + into) - f(cols)
             b = int(np.argmax(gain[:classes]))
             if gain[b] <= gain[a] + 1e-9:

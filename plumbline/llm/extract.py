@@ -40,7 +40,7 @@ SKIP_WORDS = frozenset(
     "subscription signup login comment comments reply replies disqus respond share sharing social related recommended search pagination pager skip toolbar widget".split()
 )
 CONTENT = ("article", "main")
-#: A text that stands unchanged in the container of so many pages of a host, and in all that have it, isn't a page's own.
+#: A block that stands unchanged in so many pages of a host, in all that have it and outside an article, isn't a page's own.
 CONSTANT_PAGES = 8
 #: Nodes of one wrapper; past it, alignment adds statistics to what matches and no new nodes. Texts are read from the page itself.
 WRAPPER_NODES = 3000
@@ -285,7 +285,8 @@ def plan(wrapper: list) -> dict:
             else:
                 look(below, f"{above}/{key}")
 
-    look(items, "")
+    if not path or path[-1].partition(".")[0] not in CONTENT:  # what stands in an article is its own
+        look(items, "")
     return {"path": path, "constant": constant}
 
 
@@ -300,18 +301,22 @@ def blocks(page: Node, by: dict) -> list[str]:
     constant = {tuple(c) for c in by["constant"]}
     out: list[str] = []
     held: list[str] = []
+    places: list[str] = []
 
     def end() -> None:
         text = " ".join("".join(held).split())
+        whole = len(places) == 1 and (places[0], text) in constant  # a block of one unchanging text
         held.clear()
-        if text:
+        places.clear()
+        if text and not whole:
             out.append(text)
 
     def walk(node: Node, above: str) -> None:
         for child in node.children:
             if isinstance(child, str):
-                if not constant or (above, " ".join(child.split())) not in constant:
-                    held.append(child)
+                held.append(child)
+                if constant and child.strip():
+                    places.append(above)
             elif child.tag == "br":
                 held.append(" ")
             elif not child.skipped:
