@@ -6,7 +6,7 @@ attachments, and records its reference and the tokens the placeholder expands to
 under the template, with the ranges of the loss mask (assistant content) beside it.
 
 Template. A turn is ``<|turn:ROLE|>CONTENT<|end|>`` and a line end. Control strings begin with ``<|``, which escaping keeps out
-of roles and texts: a backslash becomes two, and ``<|`` becomes ``<\\|`` (in roles ``|>`` also becomes ``|\\>``). Dropping each backslash that stands before a character
+of roles and texts: a backslash becomes two, and ``<|`` becomes ``<\\|`` (in roles ``|>`` also becomes ``|\\>``, and a part that begins with ``|`` gets a backslash before it). Dropping each backslash that stands before a character
 undoes both. Placeholders are ``<|image:N|>``, ``<|audio:N|>`` and ``<|document:N|>``, N counting a conversation's attachments from 1.
 
 Defined results: a null text or role is empty; turns go by (turn, role, text), nulls first, so ties have one order and repeated
@@ -30,6 +30,12 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def _part_text(part: Column) -> Column:
+    """A part's text, escaped; a bar at its start too, which would end a control string's opening after a part that ends in ``<``."""
+    text = F.coalesce(part["text"], F.lit(""))
+    return F.concat(F.when(F.startswith(text, F.lit("|")), F.lit("\\")).otherwise(F.lit("")), escaped(text))
+
+
 def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
@@ -81,7 +87,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         body = F.array_join(
             F.transform(
                 marked,
-                lambda m: F.when(_is_attachment(m["part"]), F.concat(F.lit("<|"), m["part"]["type"], F.lit(":"), m["number"].cast("string"), F.lit("|>"))).otherwise(escaped(F.coalesce(m["part"]["text"], F.lit("")))),
+                lambda m: F.when(_is_attachment(m["part"]), F.concat(F.lit("<|"), m["part"]["type"], F.lit(":"), m["number"].cast("string"), F.lit("|>"))).otherwise(_part_text(m["part"])),
             ),
             "",
         )
