@@ -172,7 +172,7 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
         tokens[of[k]] += often[k]
         types[of[k]] += 1
     tokens[-1], types[-1] = ends, 1
-    for r in counts.where(F.col("word") != END).groupBy((F.crc32(F.expr("right(word, 3)")) % SHAPES).alias("shape")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+    for r in counts.where(F.col("word") != END).groupBy((F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % SHAPES).alias("shape")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
         tokens[CLASSES + r["shape"]] += r["n"]
         types[CLASSES + r["shape"]] += r["types"]
     for w, k in clustered.items():

@@ -169,6 +169,18 @@ def test_class_lm(spark, docs, odd, empty):
     assert classlm.score(odd).count() == len(ODD) and classlm.score(empty).count() == 0
 
 
+def test_class_lm_emissions_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "CLUSTERED", 40)
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("абвгдежзиклмнопрстé") for _ in range(rng.randrange(1, 7))) for _ in range(300)]
+    texts = [(k, " ".join(rng.choice(vocabulary) for _ in range(40))) for k in range(30)]
+    model, counts = classlm.fit(classlm._rows(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text"))
+    mass = collections.Counter({c: 1 for c in range(len(model.below))})  # one for all unseen words
+    for r in counts.collect():
+        mass[int(model.classes[model.head.get(bytes(r.word), -1)])] += r.n + 1
+    assert all(math.isclose(mass[c], 10**x, rel_tol=1e-9) for c, x in enumerate(model.below))
+
+
 def test_exchange_raises_likelihood():
     rng = random.Random(1)
     pairs = collections.Counter()
