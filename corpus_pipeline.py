@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, linededup, mixing, neardup, quality
-from plumbline.llm.common import stored, table
+from plumbline.llm.common import free_name, stored, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -32,9 +32,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id."""
-    kept = neardup.link(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of each group of near-duplicates one row: of the smallest id (null last), then of the smallest text hash."""
+    row = free_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    of = neardup.link(numbered, row).select(F.col("doc_id").alias("l_row"), "component_id")
+    order = numbered.select(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row")).alias("place"))
+    best = order.join(of, F.col("place.row") == F.col("l_row")).groupBy("component_id").agg(F.min("place").alias("best"))
+    return numbered.join(best.select(F.col("best.row").alias("kept_row")), F.col(row) == F.col("kept_row"), "left_semi").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

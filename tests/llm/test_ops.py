@@ -274,6 +274,18 @@ def test_extract(spark):
     assert [(i[0], i[1]) for i in article[5]] == [("h1", "1"), ("p", "+"), ("ul", "?"), ("aside", "1")] or article[5][1][1] == "+"
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    other = " ".join(f"word{k}" for k in range(30))
+    third = " ".join(f"term{k}" for k in range(30))
+    given = [(4, A), (4, A), (None, A), (None, A.upper()), (None, other), (None, other), (9, A), (9, third), (5, third), (5, third), (11, None), (11, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, df, D)
+    assert got.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([(4, A), (None, other), (5, third), (11, None), (11, "")], key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
