@@ -1,13 +1,15 @@
 """LM scoring with Brown class-based n-grams: P(word | previous word) = P(class | previous class) * P(word | class).
 
-Training counts every word of every training document. The ``CLUSTERED`` most frequent words are put into ``CLASSES`` classes by
-exchange clustering: each word in turn moves to the class that raises the likelihood of the corpus most, until a pass moves
-few. Every other word belongs to one of ``SHAPES`` classes by its ending, known or not. The end of a document is a token in a
-class of its own, and the context of its first word. Transitions are smoothed by ``ALPHA``; a class's emissions get one more
-count for each of its words and one for all unseen ones.
+Training counts every word and every pair of neighbours of every training document. All words of the training documents are put
+into ``CLASSES`` classes by exchange clustering. First the ``CLUSTERED`` most frequent words: each in turn moves to the class that
+raises the likelihood of the corpus most, until a pass moves few. Then the rest of the ``HEAD`` most frequent words, all at once in
+``HEAD_PASSES`` passes over their contexts, each from no class at first. Then all others, by the head words beside them and once
+more by all words beside them. Only words that training never saw have classes by ending, ``SHAPES`` of them. The end of a
+document is a token in a class of its own, and the context of its first word. Transitions are counted over all pairs and smoothed
+by ``ALPHA``; a class's emissions get one more count for each of its words and one for all unseen ones.
 
-Scoring. The ``HEAD`` most frequent words' counts are broadcast, a table of fixed size. Counts of rarer words don't fit anywhere
-at scale, so each document sends its rare words, grouped, to a join with the counts; only the sum of log10(c + 1) comes back.
+Scoring. The ``HEAD`` most frequent words' counts and classes are broadcast, a table of fixed size. Those of rarer words don't fit
+anywhere at scale, so each document sends its rare words, with the classes beside them, to a join; only sums come back.
 
 Defined results: null and empty texts have one token, the end; a null id counts as the empty text in the split; rows that
 share id and text are scored alike; without training documents every count is 0 and scores stay finite (no words: all
@@ -20,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,12 @@ CLUSTERED, CLASSES, SHAPES = 1000, 64, 32
 HEAD = 1 << 17
 ALPHA = 0.1
 PASSES, FEW_MOVES = 6, 0.005
+#: Passes in which the rest of the head moves, and words that move at once.
+HEAD_PASSES, MOVED = 3, 512
 #: Distinct words that a task counts before it sends them on.
 HELD_WORDS = 400_000
+#: Pairs of head words, and of others, that a task holds before it sends them on; below 1 << 27 (see _contexts, which takes a HEAD of up to 1 << 17).
+HELD_PAIRS, HELD_RARE = 1_500_000, 80_000
 #: The end of a document; no word has a space.
 END = b" "
 
@@ -44,7 +51,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shape(word: bytes) -> int:
-    """The shape class of a word that isn't clustered: by its last three bytes."""
+    """The shape class of a word that training never saw: by its last three bytes."""
     return zlib.crc32(word[-3:]) % SHAPES
 
 
@@ -130,9 +137,55 @@ def exchange(pairs: dict[tuple[int, int], int] | np.ndarray, n_words: int, n_fix
     return of[:n_words]
 
 
+def moves(n: np.ndarray, of: np.ndarray, word: np.ndarray, ctx: np.ndarray, count: np.ndarray, own: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The best class of each word of a batch, with all others where they are; the step of ``exchange`` for many words at once.
+
+    ``n`` counts class pairs, the end's class (CLASSES) last; ``of`` has the words' classes (-1: not in n yet). Entry e says that
+    word[e] stands count[e] times before class ctx[e] // 2, or after it if ctx[e] is odd; own is how often a word follows itself.
+    A word without contexts stays, or begins in ``start``.
+    """
+    size, total = len(of), CLASSES + 1
+    right = ctx % 2 == 0
+    to = ctx // 2
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1))
+
+    sides = [np.bincount(word[s] * total + to[s], count[s], size * total).reshape(size, total) for s in (right, ~right)]
+    known = of >= 0
+    each, mine = np.arange(size)[known], of[known]
+    rows, cols = np.tile(n.sum(1)[:CLASSES], (size, 1)), np.tile(n.sum(0)[:CLASSES], (size, 1))
+    out, into = sides[0].sum(1) + own, sides[1].sum(1) + own
+    rows[each, mine] -= out[known]
+    cols[each, mine] -= into[known]
+    gain = -(f(rows + out[:, None]) - f(rows) + f(cols + into[:, None]) - f(cols))
+    for side, other, table in ((sides[0], sides[1], n), (sides[1], sides[0], n.T)):
+        w, d = np.nonzero(side)
+        k = side[w, d]
+        at = table[:CLASSES, d].T.copy()
+        is_known = of[w] >= 0
+        e = np.flatnonzero(is_known)
+        at[e, of[w[e]]] -= k[e]
+        e = np.flatnonzero(is_known & (d == of[w]))
+        at[e] -= other[w[e], :CLASSES]
+        at[e, of[w[e]]] -= own[w[e]]
+        change = f(at + k[:, None]) - f(at)
+        begins = np.flatnonzero(np.diff(w, prepend=-1))
+        if len(begins):
+            gain[w[begins]] += np.add.reduceat(change, begins, axis=0)
+    r, l = (x[:, :CLASSES] for x in sides)  # noqa: E741
+    diagonal = np.tile(np.diagonal(n)[:CLASSES], (size, 1))
+    diagonal[each, mine] -= r[each, mine] + l[each, mine] + own[known]
+    gain -= f(diagonal + r) + f(diagonal + l) - f(diagonal) - f(diagonal + r + l + own[:, None])
+    best = np.argmax(gain, axis=1)
+    best[each] = np.where(gain[each, best[known]] > gain[each, mine] + 1e-9, best[known], mine)
+    lone = out + into == 0
+    return np.where(lone, np.where(known, of, start), best)
+
+
 @dataclass
 class Model:
-    """Everything that scoring a document needs, of fixed size but for the counts of rare words."""
+    """Everything that scoring a document needs, of fixed size but for the counts and classes of rare words."""
 
     head: dict[bytes, int]
     #: Of each head word, the end last: log10(count + 1) and class.
@@ -145,87 +198,295 @@ class Model:
     vocabulary: int
 
 
+def _fed(df: DataFrame, f, schema: str) -> DataFrame:
+    """f over slices of df's batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, MOVED):
+                yield f(batch.slice(at, MOVED))
+
+    return df.mapInArrow(run, schema)
+
+
+def _summed(df: DataFrame, add, size: int) -> np.ndarray:
+    """The sum over df's batches of add(batch), (places, counts), as an array of size; tasks add up first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size)
+        for batch in batches:
+            places, counts = add(batch)
+            held += np.bincount(places, counts, size)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at].astype(np.int64))], names=["at", "n"])
+
+    got = df.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _entries(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, ctx, n) of each entry of a column of lists of (ctx, n)."""
+    lengths = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    return np.repeat(np.arange(len(col)), lengths), flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+
+
+def _numbers(col: pa.Array, missing: int) -> np.ndarray:
+    return col.fill_null(missing).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the counts (word, n) of all training words as a stored table."""
+    """The model, and (word, n, class) of all training words that are not in the head as a stored table."""
+    spark = rows.sparkSession
     counts = stored(count_words(rows), "lm-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     words, often = top["word"].to_pylist(), top["n"].to_numpy()
-    clustered = {w: k for k, w in enumerate(words[:CLUSTERED])}
+    head = {w: k for k, w in enumerate(words)}
     ends = int(counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    n_head, n_words, n_all = len(words), min(len(words), CLUSTERED), CLASSES + 1
+    width = n_head + 1
+    last = (int(often[-1]), words[-1]) if words else (0, b"")
+    rare = counts.where((F.col("word") != END) & ((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(last[1])))))
+    grams = stored(_bigrams(rows, spark.sparkContext.broadcast(head), n_head), "lm-bigrams")
+    pairs = grams.where("code IS NOT NULL").select("code", "n")
+
+    # The most frequent words: exchange one by one, with the others in classes by ending.
+    start = np.concatenate([np.arange(n_words), [n_words + shape(w) for w in words[n_words:]], [n_words + SHAPES]]).astype(np.int64)
+    few = n_words + SHAPES + 1
+
+    def codes(ids: np.ndarray, wide: int):
+        shared = spark.sparkContext.broadcast(ids)
+
+        def add(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            a, b = shared.value[code // width], shared.value[code % width]
+            on = (a >= 0) & (b >= 0)
+            return a[on] * wide + b[on], n[on]
+
+        return add
+
+    held = _summed(pairs, codes(start, few), few * few)
+    at = np.flatnonzero(held)
+    of = np.full(width, -1, dtype=np.int64)
+    of[:n_words] = exchange(np.stack([at // few, at % few, held[at]], axis=1).astype(np.int64), n_words, SHAPES + 1)
+    of[-1] = CLASSES
+
+    # The rest of the head: all words move at once, the first time from no class.
+    contexts = stored(_contexts(pairs, width, n_words), "lm-contexts")
+
+    def head_matrix() -> np.ndarray:
+        return _summed(pairs, codes(of, n_all), n_all * n_all).reshape(n_all, n_all)
+
+    for _ in range(HEAD_PASSES):
+        shared = spark.sparkContext.broadcast((head_matrix(), of.copy()))
+
+        def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n, now = shared.value
+            ids = batch.column(0).to_numpy().astype(np.int64)
+            word, ctx, count = _entries(batch.column(1))
+            itself = ctx // 2 == ids[word]
+            own = np.bincount(word[itself & (ctx % 2 == 0)], count[itself & (ctx % 2 == 0)], len(ids))
+            on = ~itself & (now[ctx // 2] >= 0)
+            best = moves(n, now[ids], word[on], now[ctx[on] // 2] * 2 + ctx[on] % 2, count[on], own, ids % CLASSES)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best)], names=["id", "class"])
+
+        got = _fed(contexts, moved, "id long, class long").toArrow()
+        changed = int((of[got["id"].to_numpy()] != got["class"].to_numpy()).sum())
+        of[got["id"].to_numpy()] = got["class"].to_numpy()
+        if changed <= FEW_MOVES * n_head:
+            break
+    n = head_matrix()
 
-    n_words = len(clustered)
-    pairs = _pairs(rows, clustered).toArrow()  # at most (CLUSTERED + SHAPES + 1) squared rows, as columns
-    width = n_words + SHAPES + 1
-    pair, times = pairs["pair"].to_numpy(), pairs["n"].to_numpy()
-    order = np.argsort(pair)
-    triples = np.stack([pair[order] // width, pair[order] % width, times[order]], axis=1).astype(np.int64)
-    of = np.concatenate([exchange(triples, n_words, SHAPES + 1), CLASSES + np.arange(SHAPES + 1)])
+    rare, n = _rare_classes(rare, grams, n, of)
     n_classes = CLASSES + SHAPES + 1
+    place = np.append(np.arange(CLASSES), n_classes - 1)
     step = np.zeros((n_classes, n_classes))
-    np.add.at(step, (of[triples[:, 0]], of[triples[:, 1]]), triples[:, 2])
+    step[np.ix_(place, place)] = n
     steps = np.log10((step + ALPHA) / (step.sum(1, keepdims=True) + ALPHA * n_classes))
-
-    # Each class's words and tokens: clustered words here, all others by shape in one aggregate over the counts.
-    tokens, types = np.zeros(n_classes), np.zeros(n_classes)
-    for w, k in clustered.items():
-        tokens[of[k]] += often[k]
-        types[of[k]] += 1
-    tokens[-1], types[-1] = ends, 1
-    for r in counts.where(F.col("word") != END).groupBy((F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % SHAPES).alias("shape")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
-        tokens[CLASSES + r["shape"]] += r["n"]
-        types[CLASSES + r["shape"]] += r["types"]
-    for w, k in clustered.items():
-        tokens[CLASSES + shape(w)] -= often[k]
-        types[CLASSES + shape(w)] -= 1
-    head = {w: k for k, w in enumerate(words)}
-    classes = np.array([of[clustered[w]] if w in clustered else CLASSES + shape(w) for w in words] + [n_classes - 1], dtype=np.int64)
+    classes = place[of]
+    tokens = np.bincount(classes, np.append(often, ends), n_classes)
+    types = np.bincount(classes, minlength=n_classes)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        tokens[r["class"]] += r["n"]
+        types[r["class"]] += r["types"]
     logs = np.log10(np.append(often, ends).astype(float) + 1)
-    return Model(head, logs, classes, steps, np.log10(tokens + types + 1), int(total), int(vocabulary)), counts
+    return Model(head, logs, classes, steps, np.log10(tokens + types + 1), int(total), int(vocabulary)), rare
+
 
+def _contexts(pairs: DataFrame, width: int, first: int) -> DataFrame:
+    """(id, xs) of the head words from id ``first`` on, xs being a list of (ctx, n) over the ids beside them.
+
+    An id, a ctx and a count share one long on the way to the partition of the id, which then holds all of the id's entries.
+    """
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            a, b = code // width, code % width
+            for x, ctx in ((a, b * 2), (b, a * 2 + 1)):
+                on = (x >= first) & (x < width - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[on] << 46 | ctx[on] << 27 | n[on])], names=["e"])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch.column(0).to_numpy() for batch in batches]
+        if not held:
+            return
+        e = np.sort(np.concatenate(held))
+        held.clear()
+        key = e >> 27
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        n, key = np.add.reduceat(e & ((1 << 27) - 1), at), key[at]
+        ids = key >> 19
+        begins = np.append(np.flatnonzero(np.diff(ids, prepend=-1)), len(ids))
+        entries = pa.StructArray.from_arrays([pa.array((key & ((1 << 19) - 1)).astype(np.int32)), pa.array(n)], names=["ctx", "n"])
+        for k in range(0, len(begins) - 1, MOVED):
+            part = begins[k : k + MOVED + 1]
+            xs = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), entries.slice(part[0], part[-1] - part[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part[:-1]]), xs], names=["id", "xs"])
+
+    rows = pairs.mapInArrow(turned, "e long")
+    return rows.repartition(F.shiftright("e", 46)).mapInArrow(grouped, "id long, xs array<struct<ctx:int,n:long>>")
+
+
+def _bigrams(rows: DataFrame, head, n_head: int) -> DataFrame:
+    """How often tokens stand together in training documents: n, with code for two head words (first * (n_head + 1) + second, the
+    end being n_head), word and ctx (id * 2, one more if the id comes first) for a rare and a head word, word and next for two rare ones.
+    Tasks have added up what they held; the same pair can occur again.
+    """
+    width = n_head + 1
+    names = ["code", "word", "next", "ctx", "n"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
-def _pairs(rows: DataFrame, clustered: dict[bytes, int]) -> DataFrame:
-    """(pair, n): how often token pairs stand together in training documents, over clustered words, shapes and the end."""
-    n_words = len(clustered)
-    width = n_words + SHAPES + 1
-    shared = rows.sparkSession.sparkContext.broadcast(clustered)
+    def made(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, kinds)], names=names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(shared.value, n_words)
-        held = np.zeros(width * width, dtype=np.int64)
+        get = head.value.get
+        held, size = [], 0
+        mixed, both = Counter(), Counter()
+
+        def sent(everything: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held and (everything or size > HELD_PAIRS):
+                code, n = np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+                for at in range(0, len(code), HELD_RARE):
+                    part = slice(at, at + HELD_RARE)
+                    yield made(len(code[part]), code=code[part], n=n[part])
+            if mixed and (everything or len(mixed) > HELD_RARE):
+                yield made(len(mixed), word=[k[0] for k in mixed], ctx=[k[1] for k in mixed], n=list(mixed.values()))
+                mixed.clear()
+            if both and (everything or len(both) > HELD_RARE):
+                yield made(len(both), word=[k[0] for k in both], next=[k[1] for k in both], n=list(both.values()))
+                both.clear()
+
         for batch in batches:
             for x in batch.column(0):
                 words = x.as_py().lower().split()
                 seq = np.empty(len(words) + 2, dtype=np.int64)
-                seq[0] = seq[-1] = width - 1
-                seq[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                np.add.at(held, seq[:-1] * width + seq[1:], 1)
-        at = np.flatnonzero(held)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["pair", "n"])
-
-    return rows.where("NOT held_out").select("body").mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-class _Ids(dict):
-    """Ids of clustered words, and of others by shape; remembers a bounded number of others."""
-
-    def __init__(self, known: dict[bytes, int], offset: int):
-        super().__init__(known)
-        self.offset, self.room = offset, HELD_WORDS
-
-    def __missing__(self, word: bytes) -> int:
-        k = self.offset + shape(word)
-        if self.room > 0:
-            self.room -= 1
-            self[word] = k
-        return k
+                seq[0] = seq[-1] = n_head
+                seq[1:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+                left, right = seq[:-1], seq[1:]
+                on = (left >= 0) & (right >= 0)
+                held.append(left[on] * width + right[on])
+                size += len(held[-1])
+                for i in np.flatnonzero(seq < 0).tolist():
+                    before, after = int(seq[i - 1]), int(seq[i + 1])
+                    w = words[i - 1]
+                    if before >= 0:
+                        mixed[w, before * 2 + 1] += 1
+                    if after >= 0:
+                        mixed[w, after * 2] += 1
+                    else:
+                        both[w, words[i]] += 1
+                yield from sent(False)
+        yield from sent(True)
+
+    return rows.where("NOT held_out").select("body").mapInArrow(counted, "code long, word binary, next binary, ctx int, n long")
+
+
+def _rare_classes(rare: DataFrame, grams: DataFrame, head_pairs: np.ndarray, of: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of all rare words, stored, and the counts of class pairs over all training tokens.
+
+    Words first go by the head words beside them, then once more by all words beside them. Sets what is left open in ``of``.
+    """
+    spark = rare.sparkSession
+    size = CLASSES + 1
+    shared = spark.sparkContext.broadcast((head_pairs, of))
+    beside = grams.where("ctx IS NOT NULL").groupBy("word").agg(F.collect_list(F.struct("ctx", "n")).alias("xs"))
+    base = stored(rare.join(beside, "word", "left").select("word", "n", "xs"), "lm-rare-contexts")
+    both = grams.where("next IS NOT NULL").select("word", "next", "n")
+    schema = "word binary, n long, class long"
+
+    def begun(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids = shared.value
+        word, ctx, count = _entries(batch.column(2))
+        start = np.array([zlib.crc32(w.as_py()) % CLASSES for w in batch.column(0)], dtype=np.int64)
+        unknown, on = np.full(len(start), -1), ids[ctx // 2] >= 0
+        best = moves(n, unknown, word[on], ids[ctx[on] // 2] * 2 + ctx[on] % 2, count[on], np.zeros(len(start)), start)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int64))], names=["word", "n", "class"])
+
+    def matrix(classed: DataFrame) -> np.ndarray:
+        def add(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            word, ctx, count = _entries(batch.column(1))
+            ours, theirs = batch.column(0).to_numpy()[word], shared.value[1][ctx // 2]
+            return np.where(ctx % 2 == 0, ours * size + theirs, theirs * size + ours), count
+
+        out = _summed(base.join(classed.select("word", "class"), "word").select("class", "xs"), add, size * size)
+        one, two = (classed.select(F.col("word").alias(w), F.col("class").alias(c)) for w, c in (("word", "c"), ("next", "d")))
+        for r in both.join(one, "word").join(two, "next").groupBy("c", "d").agg(F.sum("n").alias("n")).collect():
+            out[r["c"] * size + r["d"]] += r["n"]
+        return head_pairs + out.reshape(size, size)
+
+    first = stored(_fed(base, begun, schema), "lm-rare-first")
+    if (of < 0).any():
+        # Head words with rare neighbours only: by their classes.
+        def turned(batch: pa.RecordBatch) -> pa.RecordBatch:
+            word, ctx, count = _entries(batch.column(1))
+            on = shared.value[1][ctx // 2] < 0
+            by_class = batch.column(0).to_numpy()[word[on]] * 2 + 1 - ctx[on] % 2
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ctx[on] // 2, by_class, count[on])], names=["id", "ctx", "n"])
+
+        def settled(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column(0).to_numpy()
+            best = moves(shared.value[0], np.full(len(ids), -1), *_entries(batch.column(1)), np.zeros(len(ids)), ids % CLASSES)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best)], names=["id", "class"])
+
+        lone = _fed(base.join(first.select("word", "class"), "word").select("class", "xs"), turned, "id long, ctx long, n long")
+        lone = lone.groupBy("id", "ctx").agg(F.sum("n").alias("n")).groupBy("id").agg(F.collect_list(F.struct("ctx", "n")).alias("xs"))
+        got = _fed(lone, settled, "id long, class long").toArrow()
+        of[got["id"].to_numpy()] = got["class"].to_numpy()
+        shared = spark.sparkContext.broadcast((head_pairs, of))
+    everything = spark.sparkContext.broadcast(matrix(first))
+    one = first.select(F.col("word").alias("k"), "class")
+    apart, same = both.where("word != next"), both.where("word = next").select("word", F.lit(-1).alias("ctx"), "n")
+    after = apart.join(one, F.col("next") == F.col("k")).select("word", (F.col("class") * 2).cast("int").alias("ctx"), "n")
+    before = apart.join(one, F.col("word") == F.col("k")).select(F.col("next").alias("word"), (F.col("class") * 2 + 1).cast("int").alias("ctx"), "n")
+    rares = after.union(before).union(same).groupBy("word", "ctx").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("ctx", "n")).alias("ys"))
+    full = base.join(first.select("word", "class"), "word").join(rares, "word", "left").select("word", "n", "class", "xs", "ys")
+
+    def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = shared.value[1]
+        now = batch.column(2).to_numpy()
+        word, ctx, count = _entries(batch.column(3))
+        more, by_class, times = _entries(batch.column(4))
+        itself = by_class < 0
+        own = np.bincount(more[itself], times[itself], len(now))
+        entries = [np.concatenate(x) for x in ((word, more[~itself]), (ids[ctx // 2] * 2 + ctx % 2, by_class[~itself]), (count, times[~itself]))]
+        best = moves(everything.value, now, *entries, own, now)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int64))], names=["word", "n", "class"])
+
+    done = stored(_fed(full, moved, schema), "lm-rare")
+    return done, matrix(done)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row of docs."""
     rows = _rows(docs, doc_id, text)
-    model, counts = fit(rows)
+    model, rare = fit(rows)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -237,52 +498,73 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         for batch in (piece for whole in batches for piece in pieces(whole, 3)):
             texts = batch.column(3)
             out: list[list] = [[] for _ in range(5)]
-            rare_doc, rare_word, rare_n = [], [], []
+            rare_doc, rare_word, spots = [], [], []
             for k in range(len(texts)):
                 words = texts[k].as_py().lower().split()
-                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 seq = np.empty(len(words) + 2, dtype=np.int64)
                 seq[0] = seq[-1] = m.classes[end]
                 inner = m.classes[at]
-                rare = np.flatnonzero(at < 0).tolist()
-                if rare:
-                    unknown = [words[i] for i in rare]
-                    inner[rare] = [CLASSES + zlib.crc32(w[-3:]) % SHAPES for w in unknown]
-                    for w, n in Counter(unknown).items():
-                        rare_doc.append(k)
-                        rare_word.append(w)
-                        rare_n.append(n)
+                rare = np.flatnonzero(at < 0)
+                inner[rare] = -1
                 seq[1:-1] = inner
+                if len(rare):
+                    unknown = [words[i] for i in rare.tolist()]
+                    rare_doc.extend([k] * len(unknown))
+                    rare_word.extend(unknown)
+                    spots.append(np.stack([rare, seq[rare], seq[rare + 2], [CLASSES + shape(w) for w in unknown]]))
+                on = seq >= 0
+                both = on[:-1] & on[1:]
                 logs = float(m.logs[at[at >= 0]].sum() + m.logs[end])
                 out[0].append(len(words) + 1)
                 out[1].append(len(words) - len(rare) + int(known_end))
                 out[2].append(logs)
-                out[3].append(float(m.steps[seq[:-1], seq[1:]].sum()))
-                out[4].append(float(m.below[seq[1:]].sum()))
+                out[3].append(float(m.steps[seq[:-1][both], seq[1:][both]].sum()))
+                out[4].append(float(m.below[seq[1:][on[1:]]].sum()))
             keys = [batch.column(0), batch.column(2)]
             n = len(texts)
             none = lambda t, size: pa.nulls(size, t)
-            names = ["doc_id", "row", "held_out", "n_tokens", "n_known", "logs", "steps", "below", "word", "times"]
-            yield pa.RecordBatch.from_arrays([*keys, batch.column(1), *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], none(pa.binary(), n), none(pa.int64(), n)], names=names)
+            names = ["doc_id", "row", "held_out", "n_tokens", "n_known", "logs", "steps", "below", "word", "pos", "before", "after", "shape"]
+            yield pa.RecordBatch.from_arrays([*keys, batch.column(1), *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], none(pa.binary(), n), *[none(pa.int32(), n)] * 4], names=names)
             if rare_doc:
                 pick = pa.array(rare_doc, pa.int64())
                 size = len(rare_doc)
-                yield pa.RecordBatch.from_arrays([*[c.take(pick) for c in keys], none(pa.bool_(), size), none(pa.int64(), size), none(pa.int64(), size), *[none(pa.float64(), size)] * 3, pa.array(rare_word, pa.binary()), pa.array(rare_n, pa.int64())], names=names)
+                spot = [pa.array(x, pa.int32()) for x in np.concatenate(spots, axis=1)]
+                yield pa.RecordBatch.from_arrays([*[c.take(pick) for c in keys], none(pa.bool_(), size), none(pa.int64(), size), none(pa.int64(), size), *[none(pa.float64(), size)] * 3, pa.array(rare_word, pa.binary()), *spot], names=names)
 
     made = rows.select("doc_id", "held_out", F.xxhash64("body").alias("row"), "body").mapInArrow(
-        scored, f"doc_id {id_type}, row long, held_out boolean, n_tokens long, n_known long, logs double, steps double, below double, word binary, times long"
+        scored, f"doc_id {id_type}, row long, held_out boolean, n_tokens long, n_known long, logs double, steps double, below double, word binary, pos int, before int, after int, shape int"
     )
     made = stored(made, "lm-parts")
-    rare = made.where("word IS NOT NULL").select("doc_id", "row", "word", "times").join(counts, "word")
-    found = rare.groupBy("doc_id", "row").agg(F.sum("times").alias("n_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    parts = made.where("word IS NULL").withColumn("copies", F.lit(1)).drop("word", "times")
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            pos, before, after, of, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+            order = np.lexsort((pos, doc))
+            before, after, of, n = before[order], after[order], of[order], n[order]
+            # Before a rare word that follows a rare one stands the entry before it.
+            before = np.where(before < 0, np.concatenate([[0], of[:-1]]), before)
+            step = m.steps[before, of] + np.where(after >= 0, m.steps[of, after], 0)
+            sums = [np.bincount(doc, x, len(lists)) for x in (n > 0, np.log10(n + 1.0), step, m.below[of])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.float64()) for x in sums]], names=["doc_id", "row", "r_n_known", "r_logs", "r_steps", "r_below"])
+
+    spots = made.where("word IS NOT NULL").select("doc_id", "row", "pos", "before", "after", "shape", "word").join(rare, "word", "left")
+    spot = F.struct("pos", "before", "after", F.coalesce("class", "shape").cast("int").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    # A set: rows that share id and text have the same spots.
+    found = spots.groupBy("doc_id", "row").agg(F.collect_set(spot).alias("spots")).mapInArrow(added, f"doc_id {id_type}, row long, r_n_known double, r_logs double, r_steps double, r_below double")
+    parts = made.where("word IS NULL").withColumn("copies", F.lit(1)).drop("word", "pos", "before", "after", "shape")
     parts = parts.unionByName(found, allowMissingColumns=True)
     # Rows that share id and text have added up: each gets its share.
     copies = F.sum("copies")
     one = parts.groupBy("doc_id", "row").agg(
         copies.alias("copies"),
         F.first("held_out", ignorenulls=True).alias("held_out"),
-        *[(F.sum(c) / copies).alias(c) for c in ("n_tokens", "n_known", "logs", "steps", "below")],
+        (F.sum("n_tokens") / copies).alias("n_tokens"),
+        *[(F.sum(c) / copies + F.coalesce(F.max(f"r_{c}"), F.lit(0.0))).alias(c) for c in ("n_known", "logs", "steps", "below")],
     )
     n = F.col("n_tokens").cast("bigint")
     width = float(np.log10(model.train_tokens + model.vocabulary + 1))

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,13 +175,77 @@ def test_class_lm_emissions_sum_to_one(spark, monkeypatch):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("абвгдежзиклмнопрстé") for _ in range(rng.randrange(1, 7))) for _ in range(300)]
     texts = [(k, " ".join(rng.choice(vocabulary) for _ in range(40))) for k in range(30)]
-    model, counts = classlm.fit(classlm._rows(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text"))
+    seen = classlm._rows(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text")
+    model, counts = classlm.fit(seen)[0], classlm.count_words(seen)
     mass = collections.Counter({c: 1 for c in range(len(model.below))})  # one for all unseen words
     for r in counts.collect():
         mass[int(model.classes[model.head.get(bytes(r.word), -1)])] += r.n + 1
     assert all(math.isclose(mass[c], 10**x, rel_tol=1e-9) for c, x in enumerate(model.below))
 
 
+def test_class_lm_clusters_and_scores_all_words(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "CLUSTERED", 20)
+    monkeypatch.setattr(classlm, "HEAD", 100)
+    rng = random.Random(4)
+    kinds = [["".join(rng.choice(letters) for _ in range(rng.randrange(3, 7))) for _ in range(400)] for letters in ("абвгдежзи", "nopqrstuv")]
+    draw = lambda k: kinds[k % 2][min(int(rng.expovariate(0.01)), 399)]
+    texts = [(k, " ".join(draw(j) for j in range(60)) + (" x x unseen" if k % 5 == 0 else "")) for k in range(60)]
+    texts += [(100 + k, " ".join(f"q{k}a{j} lonely q{k}b{j}" for j in range(15))) for k in range(5)]  # frequent, but beside rare words only
+    df = spark.createDataFrame([*texts, texts[0], texts[0], (None, "solo")], "doc_id long, text string")
+    model, rare = classlm.fit(classlm._rows(df, "doc_id", "text"))
+    assert b"lonely" in model.head
+    learnt = {w: int(model.classes[i]) for w, i in model.head.items()} | {bytes(r.word): r["class"] for r in rare.collect()}
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [[b" ", *words(t), b" "] for i, t in [*texts, texts[0], texts[0], (None, "solo")] if not out(i)]
+    counts = collections.Counter(w for t in train for w in t[1:])
+    assert set(learnt) == set(counts) - {b" "} and max(learnt.values()) < classlm.CLASSES and len(learnt) > 300
+    last, n_classes = len(model.below) - 1, len(model.below)
+    of = lambda w: last if w == b" " else learnt.get(w, classlm.CLASSES + classlm.shape(w))
+    step, before, mass = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        for a, b in zip(t, t[1:]):
+            step[of(a), of(b)] += 1
+            before[of(a)] += 1
+    for w, n in counts.items():
+        mass[of(w)] += n + 1
+    got = classlm.score(df).collect()
+    assert len(got) == len(texts) + 3
+    want = dict([*texts, (None, "solo")])
+    for r in got:
+        t = [b" ", *words(want[r.doc_id]), b" "]
+        brute = sum(math.log10((step[of(a), of(b)] + classlm.ALPHA) / (before[of(a)] + classlm.ALPHA * n_classes) * (counts[b] + 1) / (mass[of(b)] + 1)) for a, b in zip(t, t[1:]))
+        assert math.isclose(r.score, brute, rel_tol=1e-9) and r.n_known == sum(counts[w] > 0 for w in t[1:])
+
+
+def test_class_lm_contexts_hold_the_largest_ids(spark):
+    end, top = classlm.HEAD, classlm.HEAD - 1
+    given = [(top, end, 4), (end, top, 5), (top, top, 6), (top, end, 1), (3, top, classlm.HELD_PAIRS), (end, end, 9)]
+    pairs = spark.createDataFrame([(a * (end + 1) + b, n) for a, b, n in given], "code long, n long")
+    got = {r.id: sorted((x.ctx, x.n) for x in r.xs) for r in classlm._contexts(pairs, end + 1, 4).collect()}
+    assert got == {top: sorted([(end * 2, 5), (end * 2 + 1, 5), (top * 2, 6), (top * 2 + 1, 6), (7, classlm.HELD_PAIRS)])}
+
+
+def test_moves_raise_likelihood_as_said():
+    rng = random.Random(5)
+    of = [rng.randrange(4) for _ in range(12)] + [classlm.CLASSES]
+    pairs = collections.Counter((rng.randrange(13), rng.randrange(13)) for _ in range(300))
+    pairs[3, 3] += 9
+
+    def likelihood(of):
+        n = np.zeros((classlm.CLASSES + 1,) * 2)
+        for (a, b), k in pairs.items():
+            n[of[a], of[b]] += k
+        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return f(n) - f(n.sum(1)) - f(n.sum(0)), n
+
+    for w in range(12):
+        xs = [(of[b] * 2, k) for (a, b), k in pairs.items() if a == w != b] + [(of[a] * 2 + 1, k) for (a, b), k in pairs.items() if b == w != a]
+        ctx, count = np.array(xs).T
+        best = classlm.moves(likelihood(of)[1], np.array([of[w]]), np.zeros(len(xs), int), ctx, count, np.array([float(pairs[w, w])]), np.array([0]))[0]
+        every = [likelihood([*of[:w], c, *of[w + 1 :]])[0] for c in range(classlm.CLASSES)]
+        assert math.isclose(every[best], max(every), rel_tol=1e-9)
+
+
 def test_exchange_raises_likelihood():
     rng = random.Random(1)
     pairs = collections.Counter()
