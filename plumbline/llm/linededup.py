@@ -28,8 +28,8 @@ from .common import free_name, stored
 
 NUM, DEN = 9, 10
 SPACE = r"[\x20\x09-\x0D]+"
-#: Buckets of the frequency table: one row of so many counts, whatever the corpus.
-BUCKETS = 1 << 18
+#: Buckets of the frequency table: one row of so many counts, whatever the corpus. So many groups fit the aggregation's fast map.
+BUCKETS = 1 << 16
 #: Prefixes that share a token from which its list counts as hot, and how many early lines stand for it.
 HOT, CENTRES = 512, 8
 #: Hot tokens up to which they are broadcast (4 bytes each); beyond, the join shuffles.
@@ -62,11 +62,13 @@ def _dense(counts: DataFrame, slot: str, value: str, size: int) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, text: str) -> bytes:
-    """One byte for each bucket of words, higher where more words of the corpus fall: an eighth of an octave a step.
+    """One byte for each bucket of words, higher where more words of the corpus fall: a third of an octave a step.
 
-    BUCKETS bytes come to the driver, whatever the corpus.
+    BUCKETS bytes come to the driver, whatever the corpus. Only the join's order rests on them, so words are cut at spaces and
+    line ends only, in one step; words beside other white space count under another bucket.
     """
-    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("t")).select(F.explode(_words(F.col("t"))).alias("w"))
+    flat = F.replace(F.lower(F.col(f"`{text}`")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).where("w != ''")
     counts = words.select(_bucket(F.xxhash64("w")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(126)).cast("bigint")
     dense = _dense(counts.select("slot", level.alias("level")), "slot", "level", BUCKETS)
@@ -74,12 +76,11 @@ def frequencies(docs: DataFrame, text: str) -> bytes:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, rid, line, t) of each line with a word; rid is the text's hash."""
+    """(doc, rid, line, t) of each line; rid is the text's hash."""
     body = F.col(f"`{text}`")
     # In two steps: else each line would carry its whole text past the generator.
     split = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.xxhash64(body).alias("rid"), F.split(body, "\n", -1).alias("ts"))
-    rows = split.select("doc", "rid", F.posexplode("ts").alias("line", "t"))
-    return rows.where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    return split.select("doc", "rid", F.posexplode("ts").alias("line", "t"))
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -87,15 +88,16 @@ def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     (h1, h2) names the set; prefix holds the first tokens, rare ones first, as 32-bit hashes.
     """
-    table = F.lit(frequencies(docs, text))
+    # A literal that the optimiser folds into an array of longs.
+    levels = F.split(F.lit(",".join(map(str, frequencies(docs, text)))), ",").cast("array<bigint>")
 
-    def key(word: Column) -> Column:
+    def key(h: Column) -> Column:
         # The level of the word's bucket on top, then 56 bits of its hash: rare words sort first.
-        h = F.xxhash64(word)
-        level = F.ascii(F.call_function("substring", table, _bucket(h).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.get(levels, _bucket(h).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    rows = _lines(docs, doc_id, text).select("doc", "rid", "line", F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), key))).alias("keys"))
+    # Words are hashed once, in a step of their own: a lambda that names its argument twice computes it twice.
+    hashed = _lines(docs, doc_id, text).select("doc", "rid", "line", F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w))).alias("hashes"))
+    rows = hashed.select("doc", "rid", "line", F.sort_array(F.transform("hashes", key)).alias("keys")).where(F.size("keys") > 0)
     rows = rows.select("doc", "rid", "line", "keys", F.size("keys").alias("n"))
     zero = F.lit(0).cast("bigint")
     return rows.select(
@@ -159,13 +161,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str
     pairs = stored(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("w1")).union(pairs.select("b")).distinct()
     some = stored(classes.join(wanted, F.col("h1") == F.col("w1"), "left_semi").select("h1", "h2", "first"), "line-wanted")
-    # Only lines whose position is in the bitmap leave the scan; the join then takes the right ones.
-    spot = lambda doc, rid, line: F.xxhash64(doc, rid, line).bitwiseAND(F.lit(POSITION_LONGS * 64 - 1))
-    at = some.select(spot(F.col("first.doc"), F.col("first.rid"), F.col("first.line")).alias("s"))
+    # Only texts, then lines, whose position is in the bitmap leave the scan; the join then takes the right ones.
+    spot = lambda *at: F.xxhash64(*at).bitwiseAND(F.lit(POSITION_LONGS * 64 - 1))
+    at = some.select(F.explode(F.array(spot("first.doc", "first.rid"), spot("first.doc", "first.rid", "first.line"))).alias("s"))
     bits = at.groupBy(F.shiftright("s", 6).alias("slot")).agg(F.bit_or(_bit(F.col("s").bitwiseAND(F.lit(63)))).alias("v"))
     bitmap = stored(_dense(bits, "slot", "v", POSITION_LONGS), "line-bitmap").scalar()
-    s = spot(F.col("doc"), F.col("rid"), F.col("line"))
-    lines = _lines(docs, doc_id, text).where(F.get(bitmap, F.shiftright(s, 6).cast("int")).bitwiseAND(_bit(s.bitwiseAND(F.lit(63)))) != 0)
+    wanted = lambda s: F.get(bitmap, F.shiftright(s, 6).cast("int")).bitwiseAND(_bit(s.bitwiseAND(F.lit(63)))) != 0
+    some_docs = docs.where(wanted(spot(F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(F.col(f"`{text}`")))))
+    lines = _lines(some_docs, doc_id, text).where(wanted(spot("doc", "rid", "line")))
     here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))
     worded = stored(some.join(lines, here).select("h1", "h2", "first", F.array_distinct(_words(F.col("t"))).alias("words")).dropDuplicates(["h1", "h2"]), "line-words")
     both = pairs.join(_named(worded, "p"), F.col("a") == F.col("p_h1")).join(_named(worded, "q"), F.col("b") == F.col("q_h1"))
