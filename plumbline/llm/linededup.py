@@ -21,6 +21,8 @@ get equal results; a null id comes first; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ BUCKETS = 1 << 16
 HOT, CENTRES = 512, 8
 #: Hot tokens up to which they are broadcast (4 bytes each); beyond, the join shuffles.
 BROADCAST_TOKENS = 200_000
-#: Longs of the bitmap of positions whose words the verification reads.
-POSITION_LONGS = 1 << 15
+#: Longs of the bitmaps that say which rows may have a partner: a megabyte, whatever the corpus. Full ones only stop helping.
+BITMAP_LONGS = 1 << 17
 
 
 def _words(text: Column) -> Column:
@@ -112,6 +114,14 @@ def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _maybe(hashes: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be among those in the only column of ``hashes``: a test on a bitmap, so that others needn't move to a join."""
+    s = F.col(hashes.columns[0])
+    at = hashes.select(F.shiftrightunsigned(s, 6).bitwiseAND(F.lit(BITMAP_LONGS - 1)).alias("slot"), _bit(s.bitwiseAND(F.lit(63))).alias("v"))
+    bitmap = stored(_dense(at.groupBy("slot").agg(F.bit_or("v").alias("v")), "slot", "v", BITMAP_LONGS), "line-bitmap").scalar()
+    return lambda h: F.get(bitmap, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP_LONGS - 1)).cast("int")).bitwiseAND(_bit(h.bitwiseAND(F.lit(63)))) != 0
+
+
 def _need(a: str, b: str) -> Column:
     """The least overlap of sets of a and b tokens that are similar: ceil(t / (1 + t) (a + b))."""
     return F.expr(f"({NUM} * ({a} + {b}) + {NUM + DEN - 1}) div {NUM + DEN}")
@@ -146,7 +156,9 @@ def matches(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> Data
         stars = near.join(centres, (F.col("x_tok") == F.col("c_tok")) & (F.col("c_first") < F.col("x_first")) & _close("x", "c")).select(F.col("x_h1").alias("a"), F.col("c_h1").alias("b")).distinct()
         early = stored(_verified(docs, classes, stars, doc_id, text), "line-matches")
         done = early.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"))
-        left = classes.join(done, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")), "left").select("h1", "n", "parity", "prefix", F.col("d1").isNotNull().alias("done"))
+        maybe = _maybe(early.select("h1"))
+        some = classes.where(maybe(F.col("h1"))).join(done, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")), "left").select("h1", "n", "parity", "prefix", F.col("d1").isNotNull().alias("done"))
+        left = some.unionByName(left.where(~maybe(F.col("h1"))))
     rows = left.select("h1", "n", "parity", "done", F.posexplode("prefix").alias("pos", "tok"))
     index = _named(rows.where(F.expr(f"pos <= n - ({2 * NUM} * n + {NUM + DEN - 1}) div {NUM + DEN}")), "x")
     probe = _named(rows, "y")
@@ -159,16 +171,13 @@ def matches(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> Data
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(h1, h2) of the later class of each pair whose words are similar."""
     pairs = stored(pairs, "line-pairs")
-    wanted = pairs.select(F.col("a").alias("w1")).union(pairs.select("b")).distinct()
-    some = stored(classes.join(wanted, F.col("h1") == F.col("w1"), "left_semi").select("h1", "h2", "first"), "line-wanted")
-    # Only texts, then lines, whose position is in the bitmap leave the scan; the join then takes the right ones.
-    spot = lambda *at: F.xxhash64(*at).bitwiseAND(F.lit(POSITION_LONGS * 64 - 1))
-    at = some.select(F.explode(F.array(spot("first.doc", "first.rid"), spot("first.doc", "first.rid", "first.line"))).alias("s"))
-    bits = at.groupBy(F.shiftright("s", 6).alias("slot")).agg(F.bit_or(_bit(F.col("s").bitwiseAND(F.lit(63)))).alias("v"))
-    bitmap = stored(_dense(bits, "slot", "v", POSITION_LONGS), "line-bitmap").scalar()
-    wanted = lambda s: F.get(bitmap, F.shiftright(s, 6).cast("int")).bitwiseAND(_bit(s.bitwiseAND(F.lit(63)))) != 0
-    some_docs = docs.where(wanted(spot(F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(F.col(f"`{text}`")))))
-    lines = _lines(some_docs, doc_id, text).where(wanted(spot("doc", "rid", "line")))
+    wanted = stored(pairs.select(F.col("a").alias("w1")).union(pairs.select("b")).distinct(), "line-wanted")
+    some = stored(classes.where(_maybe(wanted)(F.col("h1"))).join(wanted, F.col("h1") == F.col("w1"), "left_semi").select("h1", "h2", "first"), "line-firsts")
+    # Only texts, then lines, that may be wanted leave the scan; the join then takes the right ones.
+    texts, places = F.xxhash64("first.doc", "first.rid"), F.xxhash64("first.doc", "first.rid", "first.line")
+    maybe = _maybe(some.select(F.explode(F.array(texts, places)).alias("s")))
+    some_docs = docs.where(maybe(F.xxhash64(F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(F.col(f"`{text}`")))))
+    lines = _lines(some_docs, doc_id, text).where(maybe(F.xxhash64("doc", "rid", "line")))
     here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))
     worded = stored(some.join(lines, here).select("h1", "h2", "first", F.array_distinct(_words(F.col("t"))).alias("words")).dropDuplicates(["h1", "h2"]), "line-words")
     both = pairs.join(_named(worded, "p"), F.col("a") == F.col("p_h1")).join(_named(worded, "q"), F.col("b") == F.col("q_h1"))
@@ -182,15 +191,23 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """docs with ``text`` less the lines that an earlier line matches, and ``removed_lines``, how many they were."""
     lines = stored(prefixes(docs, doc_id, text), "lines")
     place = F.struct("doc", "rid", "line")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("lines"))
     classes = stored(classes, "line-classes")
     gone = matches(docs, classes, doc_id, text)
-    flags = classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first").join(gone.select(F.col("h1").alias("g1"), F.col("h2").alias("g2")), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")), "left").select("c1", "c2", "first", F.col("g1").isNotNull().alias("gone"))
-    met = lines.select("doc", "rid", "line", "h1", "h2").join(flags, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
+    # Only classes that go or have several lines lose any.
+    maybe_gone = _maybe(gone.select("h1"))
+    touched = classes.where((F.col("lines") > 1) | maybe_gone(F.col("h1"))).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first")
+    flags = stored(touched.join(gone.select(F.col("h1").alias("g1"), F.col("h2").alias("g2")), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")), "left").select("c1", "c2", "first", F.col("g1").isNotNull().alias("gone")), "line-flags")
+    met = lines.where(_maybe(flags.select("c1"))(F.col("h1"))).select("doc", "rid", "line", "h1", "h2").join(flags, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
     cut = met.where(F.col("gone") | ~F.struct("doc", "rid", "line").eqNullSafe(F.col("first")))
-    by_doc = cut.select("doc", "rid", "line").distinct().groupBy(F.col("doc").alias("r_doc"), F.col("rid").alias("r_rid")).agg(F.collect_list("line").alias("cut"))
+    by_doc = stored(cut.select("doc", "rid", "line").distinct().groupBy(F.col("doc").alias("r_doc"), F.col("rid").alias("r_rid")).agg(F.collect_list("line").alias("cut")), "line-cuts")
     body, out = F.col(f"`{text}`"), free_name(docs, "removed_lines")
     spare = free_name(docs, "cut_lines")
-    joined = docs.join(by_doc.withColumnRenamed("cut", spare), F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("r_doc")) & (F.xxhash64(body) == F.col("r_rid")), "left")
+    # Texts that lose no line stay where they are.
+    doc, rid = F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(body)
+    maybe = _maybe(by_doc.select(F.xxhash64("r_doc", "r_rid").alias("s")))
+    mine = maybe(F.xxhash64(doc, rid))
+    joined = docs.where(mine).join(by_doc.withColumnRenamed("cut", spare), doc.eqNullSafe(F.col("r_doc")) & (rid == F.col("r_rid")), "left")
     kept = F.array_join(F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains(F.col(spare), i)), "\n")
-    return joined.select(*[F.when(F.col(spare).isNotNull(), kept).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(spare), F.lit(0)).cast("bigint").alias(out))
+    own = lambda df, text_: df.select(*[text_.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(spare) if spare in df.columns else F.lit(None), F.lit(0)).cast("bigint").alias(out))
+    return own(joined, F.when(F.col(spare).isNotNull(), kept).otherwise(body)).unionByName(own(docs.where(~mine), body))
