@@ -2,18 +2,21 @@
 
 Training counts every word and every pair of neighbours of every training document. All words of the training documents are put
 into ``CLASSES`` classes by exchange clustering. First the ``CLUSTERED`` most frequent words: each in turn moves to the class that
-raises the likelihood of the corpus most, until a pass moves few. Then the rest of the ``HEAD`` most frequent words, all at once in
-``HEAD_PASSES`` passes over their contexts, each from no class at first. Then all others, by the head words beside them and once
-more by all words beside them. Only words that training never saw have classes by ending, ``SHAPES`` of them. The end of a
+raises the likelihood of the corpus most, until a pass moves few. Then the rest of the head, the ``HEAD`` most frequent words at
+most, all at once in ``HEAD_PASSES`` passes over their contexts, each from no class at first. Then all other words, which begin
+in one class of their own, in one pass over their contexts: classes, the end, or that class. Words of the head that stand beside
+such words only go with them. Only words that training never saw have classes by ending, ``SHAPES`` of them. The end of a
 document is a token in a class of its own, and the context of its first word. Transitions are counted over all pairs and smoothed
 by ``ALPHA``; a class's emissions get one more count for each of its words and one for all unseen ones.
 
-Scoring. The ``HEAD`` most frequent words' counts and classes are broadcast, a table of fixed size. Those of rarer words don't fit
-anywhere at scale, so each document sends its rare words, with the classes beside them, to a join; only sums come back.
+Texts are cut into words twice: to count them, and to store each text as the head's numbers with its rare words beside them; all
+later steps read the stored numbers. Counts and classes of rare words don't fit anywhere at scale, so each document sends its
+rare words, with the classes beside them, to a join, once: what comes back gives the transitions and then the scores. A rare word
+has less than one in ``HEAD`` of all tokens, so none is hot.
 
-Defined results: null and empty texts have one token, the end; a null id counts as the empty text in the split; rows that
-share id and text are scored alike; without training documents every count is 0 and scores stay finite (no words: all
-classes alike); ties in frequency go by the word's bytes; an empty table gives an empty result.
+Defined results: null and empty texts have one token, the end; a null id counts as the empty text in the split; repeated rows are
+scored alike, each on its own; without training documents every count is 0 and scores stay finite (no words: all classes alike);
+where words tie at the head's edge, all of them stay out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +43,12 @@ PASSES, FEW_MOVES = 6, 0.005
 HEAD_PASSES, MOVED = 3, 512
 #: Distinct words that a task counts before it sends them on.
 HELD_WORDS = 400_000
-#: Pairs of head words, and of others, that a task holds before it sends them on; below 1 << 27 (see _contexts, which takes a HEAD of up to 1 << 17).
-HELD_PAIRS, HELD_RARE = 1_500_000, 80_000
+#: Pairs of head words that a task holds before it sends them on; below 1 << 27 (see _contexts, which takes a HEAD of up to 1 << 17).
+HELD_PAIRS = 1_500_000
+#: Rows of one Arrow batch that a step sends.
+SENT = 80_000
+#: The class in which rare words begin.
+RARE = CLASSES + 1
 #: The end of a document; no word has a space.
 END = b" "
 
@@ -140,11 +147,11 @@ def exchange(pairs: dict[tuple[int, int], int] | np.ndarray, n_words: int, n_fix
 def moves(n: np.ndarray, of: np.ndarray, word: np.ndarray, ctx: np.ndarray, count: np.ndarray, own: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The best class of each word of a batch, with all others where they are; the step of ``exchange`` for many words at once.
 
-    ``n`` counts class pairs, the end's class (CLASSES) last; ``of`` has the words' classes (-1: not in n yet). Entry e says that
+    ``n`` counts class pairs, those that no word moves to (the end's, CLASSES, and perhaps RARE) last; ``of`` has the words' classes (-1: not in n yet). Entry e says that
     word[e] stands count[e] times before class ctx[e] // 2, or after it if ctx[e] is odd; own is how often a word follows itself.
     A word without contexts stays, or begins in ``start``.
     """
-    size, total = len(of), CLASSES + 1
+    size, total = len(of), len(n)
     right = ctx % 2 == 0
     to = ctx // 2
 
@@ -185,12 +192,14 @@ def moves(n: np.ndarray, of: np.ndarray, word: np.ndarray, ctx: np.ndarray, coun
 
 @dataclass
 class Model:
-    """Everything that scoring a document needs, of fixed size but for the counts and classes of rare words."""
+    """What scoring a document needs besides the counts and classes of rare words; of fixed size."""
 
     head: dict[bytes, int]
     #: Of each head word, the end last: log10(count + 1) and class.
     logs: np.ndarray
     classes: np.ndarray
+    #: The same, but -1 for words that are scored as rare ones are.
+    known: np.ndarray
     #: log10 P(class | previous class), and log10 of the emissions' denominators.
     steps: np.ndarray
     below: np.ndarray
@@ -237,21 +246,49 @@ def _numbers(col: pa.Array, missing: int) -> np.ndarray:
     return col.fill_null(missing).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _edge(counts: DataFrame, vocabulary: int) -> int:
+    """The least count with which HEAD words or fewer are in the head; found by histograms, not by sorting."""
+    if vocabulary <= HEAD:
+        return 1
+    words = counts.where(F.col("word") != END).select("n")
+
+    def fill(cells: DataFrame, room: int) -> tuple[int, int]:
+        """The first cell, from the top, that no longer fits, and the room before it."""
+        for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("cell")).collect():
+            if r["k"] > room:
+                return r["cell"], room
+            room -= r["k"]
+        return -1, room
+
+    octave, room = fill(words.select(F.floor(F.log2("n")).cast("int").alias("cell")), HEAD)
+    if octave < 0:
+        return 1
+    low = 1 << octave
+    step = max(1, low >> 12)
+    cell, _ = fill(words.where((F.col("n") >= low) & (F.col("n") < 2 * low)).select(F.floor((F.col("n") - low) / step).cast("int").alias("cell")), room)
+    return low + (cell + 1) * step
+
+
 def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and (word, n, class) of all training words that are not in the head as a stored table."""
+    """The model, and (word, n, class) of all training words that are scored as rare, as a stored table."""
+    return _learnt(rows)[:2]
+
+
+def _learnt(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """What ``fit`` returns, with the stored tokens (see _tokens) and the places of rare words (see _resolved)."""
     spark = rows.sparkSession
     counts = stored(count_words(rows), "lm-counts")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    words, often = top["word"].to_pylist(), top["n"].to_numpy()
+    top = counts.where((F.col("word") != END) & (F.col("n") >= _edge(counts, vocabulary))).toArrow()
+    ranked = sorted(zip(top["n"].to_pylist(), top["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    words, often = [w for _, w in ranked], np.array([n for n, _ in ranked], dtype=np.int64)
     head = {w: k for k, w in enumerate(words)}
     ends = int(counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     n_head, n_words, n_all = len(words), min(len(words), CLUSTERED), CLASSES + 1
     width = n_head + 1
-    last = (int(often[-1]), words[-1]) if words else (0, b"")
-    rare = counts.where((F.col("word") != END) & ((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(last[1])))))
-    grams = stored(_bigrams(rows, spark.sparkContext.broadcast(head), n_head), "lm-bigrams")
-    pairs = grams.where("code IS NOT NULL").select("code", "n")
+    tokens = stored(_tokens(rows, spark.sparkContext.broadcast(head)), "lm-tokens")
+    train = tokens.where("NOT held_out")
+    pairs = stored(_bigrams(train, n_head), "lm-bigrams")
 
     # The most frequent words: exchange one by one, with the others in classes by ending.
     start = np.concatenate([np.arange(n_words), [n_words + shape(w) for w in words[n_words:]], [n_words + SHAPES]]).astype(np.int64)
@@ -276,12 +313,9 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
 
     # The rest of the head: all words move at once, the first time from no class.
     contexts = stored(_contexts(pairs, width, n_words), "lm-contexts")
-
-    def head_matrix() -> np.ndarray:
-        return _summed(pairs, codes(of, n_all), n_all * n_all).reshape(n_all, n_all)
-
     for _ in range(HEAD_PASSES):
-        shared = spark.sparkContext.broadcast((head_matrix(), of.copy()))
+        now_counts = _summed(pairs, codes(of, n_all), n_all * n_all).reshape(n_all, n_all)
+        shared = spark.sparkContext.broadcast((now_counts, of.copy()))
 
         def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, now = shared.value
@@ -298,22 +332,78 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
         of[got["id"].to_numpy()] = got["class"].to_numpy()
         if changed <= FEW_MOVES * n_head:
             break
-    n = head_matrix()
 
-    rare, n = _rare_classes(rare, grams, n, of)
+    # All other words.
+    known = spark.sparkContext.broadcast((of, {int(k): words[k] for k in np.flatnonzero(of < 0)}))
+    size = RARE + 1
+
+    def sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        seq = _sequence(batch.column(0), known.value[0])[0]
+        seq = np.where(seq < 0, RARE, seq)
+        return seq[:-1] * size + seq[1:], np.ones(len(seq) - 1)
+
+    seen = _summed(train.select("ids"), sides, size * size).reshape(size, size)
+    rare = stored(_rare_classes(_spots(train, known), seen), "lm-rare")
+    spots = stored(_resolved(_spots(tokens, known), rare), "lm-spots")
     n_classes = CLASSES + SHAPES + 1
     place = np.append(np.arange(CLASSES), n_classes - 1)
-    step = np.zeros((n_classes, n_classes))
-    step[np.ix_(place, place)] = n
+
+    def steps_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        _, before, after, mine, _ = _runs(batch.column(0), n_classes - 1)
+        out = np.concatenate([before * n_classes + mine, mine[after >= 0] * n_classes + after[after >= 0]])
+        return out, np.ones(len(out))
+
+    step = _summed(spots.where("NOT held_out").select("spots"), steps_of, n_classes * n_classes).reshape(n_classes, n_classes)
+    step[np.ix_(place, place)] += seen[:n_all, :n_all]
     steps = np.log10((step + ALPHA) / (step.sum(1, keepdims=True) + ALPHA * n_classes))
-    classes = place[of]
-    tokens = np.bincount(classes, np.append(often, ends), n_classes)
-    types = np.bincount(classes, minlength=n_classes)
+    scored = np.append(place, -1)[of]  # -1 stays
+    on = scored >= 0
+    mass, types = np.bincount(scored[on], np.append(often, ends)[on], n_classes), np.bincount(scored[on], minlength=n_classes)
     for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
-        tokens[r["class"]] += r["n"]
+        mass[r["class"]] += r["n"]
         types[r["class"]] += r["types"]
+    classes = scored.copy()
+    if not on.all():
+        late = spark.createDataFrame([(words[k],) for k in np.flatnonzero(~on)], "late binary")
+        for r in rare.join(F.broadcast(late), F.col("word") == F.col("late")).select("word", "class").collect():
+            classes[head[bytes(r["word"])]] = r["class"]
     logs = np.log10(np.append(often, ends).astype(float) + 1)
-    return Model(head, logs, classes, steps, np.log10(tokens + types + 1), int(total), int(vocabulary)), rare
+    return Model(head, logs, classes, scored, steps, np.log10(mass + types + 1), int(total), int(vocabulary)), rare, tokens, spots
+
+
+def _tokens(rows: DataFrame, head) -> DataFrame:
+    """(row, doc_id, held_out, ids, rare) of each row: its words as numbers of the head, -1 for others, which ``rare`` lists in order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = head.value.get
+        for batch in (piece for whole in batches for piece in pieces(whole, 3)):
+            ids, rare, ends, rare_ends = [], [], [0], [0]
+            for x in batch.column(3):
+                words = x.as_py().lower().split()
+                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                ids.append(at)
+                rare.extend([words[i] for i in np.flatnonzero(at < 0).tolist()])
+                ends.append(ends[-1] + len(words))
+                rare_ends.append(len(rare))
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, pa.array(np.concatenate(ids), pa.int32())), (rare_ends, pa.array(rare, pa.binary())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *lists], names=["row", "doc_id", "held_out", "ids", "rare"])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "body")
+    return numbered.mapInArrow(cut, f"row long, doc_id {id_type}, held_out boolean, ids array<int>, rare array<binary>")
+
+
+def _sequence(ids: pa.ListArray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's texts as one sequence of ``of`` of each word, the end's (of's last) before, between and after them; -1 for rare words.
+
+    Also the places of the words in it, the text to which each place but the first belongs, and the words' numbers.
+    """
+    lengths, flat = ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(flat)) + text + 1
+    seq = np.full(len(flat) + len(lengths) + 1, of[-1], dtype=np.int64)
+    seq[at] = np.where(flat < 0, -1, of[flat])
+    return seq, at, np.repeat(np.arange(len(lengths)), lengths + 1), flat
 
 
 def _contexts(pairs: DataFrame, width: int, first: int) -> DataFrame:
@@ -351,233 +441,145 @@ def _contexts(pairs: DataFrame, width: int, first: int) -> DataFrame:
     return rows.repartition(F.shiftright("e", 46)).mapInArrow(grouped, "id long, xs array<struct<ctx:int,n:long>>")
 
 
-def _bigrams(rows: DataFrame, head, n_head: int) -> DataFrame:
-    """How often tokens stand together in training documents: n, with code for two head words (first * (n_head + 1) + second, the
-    end being n_head), word and ctx (id * 2, one more if the id comes first) for a rare and a head word, word and next for two rare ones.
+def _bigrams(train: DataFrame, n_head: int) -> DataFrame:
+    """(code, n): how often two head words stand together, first * (n_head + 1) + second, the end being n_head.
+
     Tasks have added up what they held; the same pair can occur again.
     """
     width = n_head + 1
-    names = ["code", "word", "next", "ctx", "n"]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
-
-    def made(size: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, kinds)], names=names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = head.value.get
         held, size = [], 0
-        mixed, both = Counter(), Counter()
 
-        def sent(everything: bool) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            if held and (everything or size > HELD_PAIRS):
-                code, n = np.unique(np.concatenate(held), return_counts=True)
-                held, size = [], 0
-                for at in range(0, len(code), HELD_RARE):
-                    part = slice(at, at + HELD_RARE)
-                    yield made(len(code[part]), code=code[part], n=n[part])
-            if mixed and (everything or len(mixed) > HELD_RARE):
-                yield made(len(mixed), word=[k[0] for k in mixed], ctx=[k[1] for k in mixed], n=list(mixed.values()))
-                mixed.clear()
-            if both and (everything or len(both) > HELD_RARE):
-                yield made(len(both), word=[k[0] for k in both], next=[k[1] for k in both], n=list(both.values()))
-                both.clear()
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
+            for at in range(0, len(code), SENT):
+                part = slice(at, at + SENT)
+                yield pa.RecordBatch.from_arrays([pa.array(code[part]), pa.array(n[part], pa.int64())], names=["code", "n"])
 
         for batch in batches:
-            for x in batch.column(0):
-                words = x.as_py().lower().split()
-                seq = np.empty(len(words) + 2, dtype=np.int64)
-                seq[0] = seq[-1] = n_head
-                seq[1:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                left, right = seq[:-1], seq[1:]
-                on = (left >= 0) & (right >= 0)
-                held.append(left[on] * width + right[on])
-                size += len(held[-1])
-                for i in np.flatnonzero(seq < 0).tolist():
-                    before, after = int(seq[i - 1]), int(seq[i + 1])
-                    w = words[i - 1]
-                    if before >= 0:
-                        mixed[w, before * 2 + 1] += 1
-                    if after >= 0:
-                        mixed[w, after * 2] += 1
-                    else:
-                        both[w, words[i]] += 1
-                yield from sent(False)
-        yield from sent(True)
-
-    return rows.where("NOT held_out").select("body").mapInArrow(counted, "code long, word binary, next binary, ctx int, n long")
-
-
-def _rare_classes(rare: DataFrame, grams: DataFrame, head_pairs: np.ndarray, of: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(word, n, class) of all rare words, stored, and the counts of class pairs over all training tokens.
-
-    Words first go by the head words beside them, then once more by all words beside them. Sets what is left open in ``of``.
-    """
-    spark = rare.sparkSession
-    size = CLASSES + 1
-    shared = spark.sparkContext.broadcast((head_pairs, of))
-    beside = grams.where("ctx IS NOT NULL").groupBy("word").agg(F.collect_list(F.struct("ctx", "n")).alias("xs"))
-    base = stored(rare.join(beside, "word", "left").select("word", "n", "xs"), "lm-rare-contexts")
-    both = grams.where("next IS NOT NULL").select("word", "next", "n")
-    schema = "word binary, n long, class long"
-
-    def begun(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, ids = shared.value
-        word, ctx, count = _entries(batch.column(2))
-        start = np.array([zlib.crc32(w.as_py()) % CLASSES for w in batch.column(0)], dtype=np.int64)
-        unknown, on = np.full(len(start), -1), ids[ctx // 2] >= 0
-        best = moves(n, unknown, word[on], ids[ctx[on] // 2] * 2 + ctx[on] % 2, count[on], np.zeros(len(start)), start)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int64))], names=["word", "n", "class"])
+            seq = _sequence(batch.column(0), np.arange(width))[0]
+            on = (seq[:-1] >= 0) & (seq[1:] >= 0)
+            held.append(seq[:-1][on] * width + seq[1:][on])
+            size += len(held[-1])
+            if size > HELD_PAIRS:
+                yield from sent()
+        if held:
+            yield from sent()
 
-    def matrix(classed: DataFrame) -> np.ndarray:
-        def add(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            word, ctx, count = _entries(batch.column(1))
-            ours, theirs = batch.column(0).to_numpy()[word], shared.value[1][ctx // 2]
-            return np.where(ctx % 2 == 0, ours * size + theirs, theirs * size + ours), count
-
-        out = _summed(base.join(classed.select("word", "class"), "word").select("class", "xs"), add, size * size)
-        one, two = (classed.select(F.col("word").alias(w), F.col("class").alias(c)) for w, c in (("word", "c"), ("next", "d")))
-        for r in both.join(one, "word").join(two, "next").groupBy("c", "d").agg(F.sum("n").alias("n")).collect():
-            out[r["c"] * size + r["d"]] += r["n"]
-        return head_pairs + out.reshape(size, size)
-
-    first = stored(_fed(base, begun, schema), "lm-rare-first")
-    if (of < 0).any():
-        # Head words with rare neighbours only: by their classes.
-        def turned(batch: pa.RecordBatch) -> pa.RecordBatch:
-            word, ctx, count = _entries(batch.column(1))
-            on = shared.value[1][ctx // 2] < 0
-            by_class = batch.column(0).to_numpy()[word[on]] * 2 + 1 - ctx[on] % 2
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ctx[on] // 2, by_class, count[on])], names=["id", "ctx", "n"])
+    return train.select("ids").mapInArrow(counted, "code long, n long")
 
-        def settled(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column(0).to_numpy()
-            best = moves(shared.value[0], np.full(len(ids), -1), *_entries(batch.column(1)), np.zeros(len(ids)), ids % CLASSES)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best)], names=["id", "class"])
 
-        lone = _fed(base.join(first.select("word", "class"), "word").select("class", "xs"), turned, "id long, ctx long, n long")
-        lone = lone.groupBy("id", "ctx").agg(F.sum("n").alias("n")).groupBy("id").agg(F.collect_list(F.struct("ctx", "n")).alias("xs"))
-        got = _fed(lone, settled, "id long, class long").toArrow()
-        of[got["id"].to_numpy()] = got["class"].to_numpy()
-        shared = spark.sparkContext.broadcast((head_pairs, of))
-    everything = spark.sparkContext.broadcast(matrix(first))
-    one = first.select(F.col("word").alias("k"), "class")
-    apart, same = both.where("word != next"), both.where("word = next").select("word", F.lit(-1).alias("ctx"), "n")
-    after = apart.join(one, F.col("next") == F.col("k")).select("word", (F.col("class") * 2).cast("int").alias("ctx"), "n")
-    before = apart.join(one, F.col("word") == F.col("k")).select(F.col("next").alias("word"), (F.col("class") * 2 + 1).cast("int").alias("ctx"), "n")
-    rares = after.union(before).union(same).groupBy("word", "ctx").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("ctx", "n")).alias("ys"))
-    full = base.join(first.select("word", "class"), "word").join(rares, "word", "left").select("word", "n", "class", "xs", "ys")
+def _spots(tokens: DataFrame, known) -> DataFrame:
+    """(row, held_out, pos, before, after, word) of each rare word: its place in the text and the classes beside it, -1 if rare.
+
+    ``known`` has the classes of the head's words and the end, and the words of those without one, which count as rare.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, open_ = known.value
+        extra, place = pa.array(list(open_.values()), pa.binary()), np.zeros(len(of), dtype=np.int64)
+        place[list(open_)] = np.arange(len(open_))
+        for batch in batches:
+            seq, at, text, flat = _sequence(batch.column(2), of)
+            hole = np.flatnonzero(seq[at] < 0)
+            rare = batch.column(3).flatten()
+            number = np.where(flat[hole] < 0, np.cumsum(flat[hole] < 0) - 1, len(rare) + place[flat[hole]])
+            words = pa.concat_arrays([rare, extra]) if len(extra) else rare
+            begins = np.searchsorted(text[at - 1], np.arange(batch.num_rows))
+            for k in range(0, len(hole), SENT):
+                h = hole[k : k + SENT]
+                doc = text[at[h] - 1]
+                spot = (h - begins[doc], seq[at[h] - 1], seq[at[h] + 1])
+                row = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(x, pa.int32()) for x in spot], words.take(pa.array(number[k : k + SENT]))], names=["row", "held_out", "pos", "before", "after", "word"])
+
+    return tokens.select("row", "held_out", "ids", "rare").mapInArrow(found, "row long, held_out boolean, pos int, before int, after int, word binary")
+
+
+def _rare_classes(spots: DataFrame, seen: np.ndarray) -> DataFrame:
+    """(word, n, class) of all rare words: each moves from RARE to its best class, all at once."""
+    wide = RARE + 1
+    shared = spots.sparkSession.sparkContext.broadcast(seen)
+    here = spots.groupBy("word", ((F.col("before") + 1) * wide + F.col("after") + 1).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    beside = here.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("code", "n")).alias("xs"))
 
     def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = shared.value[1]
-        now = batch.column(2).to_numpy()
-        word, ctx, count = _entries(batch.column(3))
-        more, by_class, times = _entries(batch.column(4))
-        itself = by_class < 0
-        own = np.bincount(more[itself], times[itself], len(now))
-        entries = [np.concatenate(x) for x in ((word, more[~itself]), (ids[ctx // 2] * 2 + ctx % 2, by_class[~itself]), (count, times[~itself]))]
-        best = moves(everything.value, now, *entries, own, now)
+        word, code, count = _entries(batch.column(2))
+        before, after = code // wide - 1, code % wide - 1
+        ctx = np.concatenate([np.where(before < 0, RARE, before) * 2 + 1, np.where(after < 0, RARE, after) * 2]).astype(np.int64)
+        none = np.full(batch.num_rows, -1)
+        best = moves(shared.value, none, np.concatenate([word, word]), ctx, np.concatenate([count, count]), np.zeros(len(none)), none)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int64))], names=["word", "n", "class"])
 
-    done = stored(_fed(full, moved, schema), "lm-rare")
-    return done, matrix(done)
+    return _fed(beside, moved, "word binary, n long, class long")
+
+
+def _resolved(spots: DataFrame, rare: DataFrame) -> DataFrame:
+    """(row, held_out, spots) of each text with rare words: pos, before, after, class and count of each."""
+    unseen = CLASSES + F.expr(f"crc32(substring(word, greatest(1, length(word) - 2), 3)) % {SHAPES}")  # shape() of the word
+    spot = F.struct("pos", "before", "after", F.coalesce(F.col("class"), unseen).cast("int").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    return spots.join(rare, "word", "left").groupBy("row").agg(F.first("held_out").alias("held_out"), F.collect_list(spot).alias("spots"))
+
+
+def _runs(lists: pa.ListArray, end: int) -> tuple[np.ndarray, ...]:
+    """(text, before, after, class, n) of each spot in order; ``before`` is -1 nowhere, as the spot ahead gives it; ``end`` is the end's class."""
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    pos, before, after, of, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+    order = np.lexsort((pos, doc))
+    before, after, of, n = before[order], after[order], of[order], n[order]
+    before, after = np.where(before == CLASSES, end, before), np.where(after == CLASSES, end, after)
+    return doc[order], np.where(before < 0, np.concatenate([[0], of[:-1]]), before), after, of, n
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row of docs."""
     rows = _rows(docs, doc_id, text)
-    model, rare = fit(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    model, _, tokens, spots = _learnt(rows)
+    shared = rows.sparkSession.sparkContext.broadcast((model.known, model.logs, model.steps, model.below))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        end = len(m.logs) - 1
-        get = m.head.get
-        known_end = m.logs[end] > 0
-        for batch in (piece for whole in batches for piece in pieces(whole, 3)):
-            texts = batch.column(3)
-            out: list[list] = [[] for _ in range(5)]
-            rare_doc, rare_word, spots = [], [], []
-            for k in range(len(texts)):
-                words = texts[k].as_py().lower().split()
-                at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                seq = np.empty(len(words) + 2, dtype=np.int64)
-                seq[0] = seq[-1] = m.classes[end]
-                inner = m.classes[at]
-                rare = np.flatnonzero(at < 0)
-                inner[rare] = -1
-                seq[1:-1] = inner
-                if len(rare):
-                    unknown = [words[i] for i in rare.tolist()]
-                    rare_doc.extend([k] * len(unknown))
-                    rare_word.extend(unknown)
-                    spots.append(np.stack([rare, seq[rare], seq[rare + 2], [CLASSES + shape(w) for w in unknown]]))
-                on = seq >= 0
-                both = on[:-1] & on[1:]
-                logs = float(m.logs[at[at >= 0]].sum() + m.logs[end])
-                out[0].append(len(words) + 1)
-                out[1].append(len(words) - len(rare) + int(known_end))
-                out[2].append(logs)
-                out[3].append(float(m.steps[seq[:-1][both], seq[1:][both]].sum()))
-                out[4].append(float(m.below[seq[1:][on[1:]]].sum()))
-            keys = [batch.column(0), batch.column(2)]
-            n = len(texts)
-            none = lambda t, size: pa.nulls(size, t)
-            names = ["doc_id", "row", "held_out", "n_tokens", "n_known", "logs", "steps", "below", "word", "pos", "before", "after", "shape"]
-            yield pa.RecordBatch.from_arrays([*keys, batch.column(1), *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], none(pa.binary(), n), *[none(pa.int32(), n)] * 4], names=names)
-            if rare_doc:
-                pick = pa.array(rare_doc, pa.int64())
-                size = len(rare_doc)
-                spot = [pa.array(x, pa.int32()) for x in np.concatenate(spots, axis=1)]
-                yield pa.RecordBatch.from_arrays([*[c.take(pick) for c in keys], none(pa.bool_(), size), none(pa.int64(), size), none(pa.int64(), size), *[none(pa.float64(), size)] * 3, pa.array(rare_word, pa.binary()), *spot], names=names)
-
-    made = rows.select("doc_id", "held_out", F.xxhash64("body").alias("row"), "body").mapInArrow(
-        scored, f"doc_id {id_type}, row long, held_out boolean, n_tokens long, n_known long, logs double, steps double, below double, word binary, pos int, before int, after int, shape int"
-    )
-    made = stored(made, "lm-parts")
+        known, logs, steps, below = shared.value
+        for batch in batches:
+            size = batch.num_rows
+            seq, at, text, flat = _sequence(batch.column(3), known)
+            gain = np.full(len(seq), logs[-1])
+            gain[at] = np.where(flat < 0, 0, logs[flat])
+            right, left = seq[1:], seq[:-1]
+            on = right >= 0
+            both = on & (left >= 0)
+            sums = [np.bincount(text, minlength=size), np.bincount(text[on], gain[1:][on] > 0, size), np.bincount(text[on], gain[1:][on], size), np.bincount(text[both], steps[left[both], right[both]], size), np.bincount(text[on], below[right[on]], size)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *[pa.array(x.astype(float)) for x in sums]], names=["row", "doc_id", "held_out", *_SUMS])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        _, _, steps, below = shared.value
         for batch in batches:
-            lists = batch.column(2)
-            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            flat = lists.flatten()
-            pos, before, after, of, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
-            order = np.lexsort((pos, doc))
-            before, after, of, n = before[order], after[order], of[order], n[order]
-            # Before a rare word that follows a rare one stands the entry before it.
-            before = np.where(before < 0, np.concatenate([[0], of[:-1]]), before)
-            step = m.steps[before, of] + np.where(after >= 0, m.steps[of, after], 0)
-            sums = [np.bincount(doc, x, len(lists)) for x in (n > 0, np.log10(n + 1.0), step, m.below[of])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.float64()) for x in sums]], names=["doc_id", "row", "r_n_known", "r_logs", "r_steps", "r_below"])
-
-    spots = made.where("word IS NOT NULL").select("doc_id", "row", "pos", "before", "after", "shape", "word").join(rare, "word", "left")
-    spot = F.struct("pos", "before", "after", F.coalesce("class", "shape").cast("int").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
-    # A set: rows that share id and text have the same spots.
-    found = spots.groupBy("doc_id", "row").agg(F.collect_set(spot).alias("spots")).mapInArrow(added, f"doc_id {id_type}, row long, r_n_known double, r_logs double, r_steps double, r_below double")
-    parts = made.where("word IS NULL").withColumn("copies", F.lit(1)).drop("word", "pos", "before", "after", "shape")
-    parts = parts.unionByName(found, allowMissingColumns=True)
-    # Rows that share id and text have added up: each gets its share.
-    copies = F.sum("copies")
-    one = parts.groupBy("doc_id", "row").agg(
-        copies.alias("copies"),
-        F.first("held_out", ignorenulls=True).alias("held_out"),
-        (F.sum("n_tokens") / copies).alias("n_tokens"),
-        *[(F.sum(c) / copies + F.coalesce(F.max(f"r_{c}"), F.lit(0.0))).alias(c) for c in ("n_known", "logs", "steps", "below")],
-    )
-    n = F.col("n_tokens").cast("bigint")
+            doc, before, after, of, n = _runs(batch.column(1), len(below) - 1)
+            step = steps[before, of] + np.where(after >= 0, steps[of, after], 0)
+            sums = [np.bincount(doc, x, batch.num_rows) for x in (n > 0, np.log10(n + 1.0), step, below[of])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.float64()) for x in sums]], names=["r_row", *[f"r_{c}" for c in _SUMS[1:]]])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    mine = tokens.select("row", "doc_id", "held_out", "ids").mapInArrow(scored, f"row long, doc_id {id_type}, held_out boolean, " + ", ".join(f"{c} double" for c in _SUMS))
+    theirs = spots.select("row", "spots").mapInArrow(added, "r_row long, " + ", ".join(f"r_{c} double" for c in _SUMS[1:]))
+    joined = mine.join(theirs, F.col("row") == F.col("r_row"), "left")
+    one = joined.select("doc_id", "held_out", F.col("n_tokens").cast("bigint").alias("n"), *[(F.col(c) + F.coalesce(f"r_{c}", F.lit(0.0))).alias(c) for c in _SUMS[1:]])
     width = float(np.log10(model.train_tokens + model.vocabulary + 1))
     total = F.col("steps") + F.col("logs") - F.col("below")
-    done = one.select(
+    return one.select(
         "doc_id",
         "held_out",
-        n.alias("n_tokens"),
+        F.col("n").alias("n_tokens"),
         F.col("n_known").cast("bigint").alias("n_known"),
         F.lit(model.train_tokens).cast("bigint").alias("train_tokens"),
-        (F.col("logs") - n * width).alias("base_score"),
+        (F.col("logs") - F.col("n") * width).alias("base_score"),
         total.alias("score"),
-        F.pow(F.lit(10.0), -total / n).alias("perplexity"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies").cast("bigint"))).alias("copy"),
+        F.pow(F.lit(10.0), -total / F.col("n")).alias("perplexity"),
     )
-    return done.drop("copy")
+
+
+#: What a text's score is made of, as sums over its tokens.
+_SUMS = ("n_tokens", "n_known", "logs", "steps", "below")
