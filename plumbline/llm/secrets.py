@@ -68,6 +68,8 @@ class Kind:
     valid: Callable[[re.Match], bool] = bool
     #: A byte to fold to ``fold_to``; all other bytes fold to a space. Such a kind has one keyword, in folded text.
     fold: bytes = b""
+    #: A class whose run, from where the expression fails, holds no other match: starts in it are passed over, so that scans stay linear.
+    run: re.Pattern | None = None
 
 
 #: Base kinds first, in the order in which equal starts are listed.
@@ -77,7 +79,7 @@ KINDS = (
     Kind("hex", (b"x" * 24,), re.compile(rb"[0-9a-f]+"), lambda m: len(m[0]) >= 24, b"0123456789abcdef"),
     Kind("forge_token", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), _crc_tail),
     Kind("registry_token", (b"npm_",), re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), _crc_tail),
-    Kind("web_token", (b"eyj",), re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)"), _json_head),
+    Kind("web_token", (b"eyj",), re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)"), _json_head, run=re.compile(rb"[A-Za-z0-9_-]*")),
     Kind("private_key", (b"-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"), bool),
     Kind("card", (b"9" * 13, b"9999 9999 9999 9", b"9999-9999-9999-9"), re.compile(rb"[0-9]{13,19}(?![0-9])|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4})\1[0-9]{1,7}(?![0-9])"), _luhn, b"0123456789"),
 )
@@ -143,6 +145,8 @@ class Scanner:
                     past = m.end()
                     if kind.valid(m):
                         found.append((kind.name, start, past))
+                elif kind.run:
+                    past = kind.run.match(text, start).end()
         return sorted(found, key=lambda s: (s[1], self.rank[s[0]], s[2]))
 
 
