@@ -24,7 +24,7 @@ from .common import free_name
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: Rows of the sample that rules are timed on, and the seed that picks them.
+#: Rows of the sample that rules are timed on, as expected; it sets the order of the rules only, never a verdict.
 SAMPLE_ROWS = 400
 
 
@@ -112,12 +112,12 @@ def _rule(name: str, rules: tuple[Rule, ...]) -> Rule:
 
 
 def measure(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) of each rule over the ``rows`` texts of the lowest hash.
+    """(rule, seconds a text, share rejected) of each rule over about ``rows`` texts, drawn where they are: no rows move.
 
-    Only these figures come to the driver. An empty table gives no figures.
+    Only these figures come to the driver. An empty table gives no figures, and a sample that misses leaves the given order.
     """
-    h, t = "h", "t"
-    sample = docs.select(F.xxhash64(F.col(text), F.lit(9)).alias(h), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(t)).orderBy(h, t).limit(rows).select(t)
+    share = min(1.0, rows / max(1, docs.count()))
+    sample = docs.where(F.rand(9) < share).select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, hits, n = [0.0] * len(rules), [0] * len(rules), 0
