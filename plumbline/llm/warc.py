@@ -1,10 +1,12 @@
 """WARC archives with revisit resolution.
 
-Headers (id, digest, length) are shuffled by payload digest to find each payload's original; records join their original; the
-archives hold originals as ``response`` and the others as ``revisit`` records without payload. Every record is its own gzip
-member, made in Arrow batches and written by Spark's own text writer with an empty gzip member as the separator, so files are
-committed by task, go to any file system that Spark knows, and read as plain concatenated gzip. Reading unpacks whole files
-in Arrow batches, follows Content-Length, and joins revisits to the payload facts of their originals by record id.
+Headers (id, digest, length) are shuffled by payload digest to find each payload's original, pre-aggregated, and the headers of
+revisits are stored. Pages then meet the revisits' headers by id and digest, which no two different pages share, so copies of one
+payload don't meet in one task; short payloads, always responses, meet nothing. The archives hold originals as ``response`` and
+the others as ``revisit`` records without payload. Every record is its own gzip member, made in Arrow batches and written by
+Spark's own text writer, ``FILE_BYTES`` or one record a file, so files are committed by task, go to any file system that Spark
+knows, and read as plain concatenated gzip. Reading unpacks whole files in Arrow batches, follows Content-Length, and joins
+revisits to the payload facts of their originals by record id.
 
 Defined results: a null payload is empty; payloads under ``MIN_BYTES`` are always responses; rows that tie on the smallest id are
 all responses; repeated rows share a record id; a null id is larger than any other; null or odd URLs are left out or escaped;
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary
+from .common import binary, stored
 
 MIN_BYTES = 100
-#: Records in one archive file at most, which bounds what a reader holds.
-FILE_RECORDS = 5000
+#: Bytes of members after which an archive file ends, which bounds what a reader holds (one record may be longer).
+FILE_BYTES = 8 << 20
+#: Parts that headers of one digest go to, and headers of revisits up to which they are broadcast (about 100 bytes each).
+SALTS, BROADCAST_REVISITS = 32, 100_000
 #: Bytes that a reader unpacks at a time.
 STEP_BYTES = 8 << 10
-#: A gzip member of nothing, which stands between records.
+#: A gzip member of nothing, which ends a file.
 SEPARATOR = gzip.compress(b"", mtime=0).decode("latin-1")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,10 +45,17 @@ def resolve(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     """(page_id, url, payload, digest, payload_bytes, record_type, refers_to) of each row; revisits have a null payload."""
     body = binary(payload)
     df = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("bigint").alias("payload_bytes"))
-    # Only digests that repeat: a join on them leaves all others as they are.
-    first = df.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("o_digest"), "original")
-    df = df.join(first, F.when(F.col("payload_bytes") >= least, F.col("digest")) == F.col("o_digest"), "left")
-    again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    long_ = df.where(F.col("payload_bytes") >= least)
+    first = long_.groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last"), F.count("page_id").alias("ids"), F.count(F.lit(1)).alias("n"))
+    # Only digests that repeat under several ids have revisits.
+    first = first.where("original < last OR (original IS NOT NULL AND ids < n)").select(F.col("digest").alias("f_digest"), "original", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    headers = long_.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    met = headers.join(first, (F.col("digest") == F.col("f_digest")) & (F.col("salt") == F.col("f_salt"))).where(~F.col("page_id").eqNullSafe(F.col("original")))
+    revisits = stored(met.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "original").distinct(), "warc-revisits")
+    few = revisits.count() <= BROADCAST_REVISITS
+    key = F.when(F.col("payload_bytes") >= least, F.col("digest"))
+    df = df.where(F.col("payload_bytes") >= least).join(F.broadcast(revisits) if few else revisits, (key == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_id")), "left").unionByName(df.where(F.col("payload_bytes") < least), allowMissingColumns=True)
+    again = F.col("original").isNotNull()
     return df.select(
         "page_id",
         "url",
@@ -80,22 +91,25 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(resolved: DataFrame, path: str, date: str = DATE, file_records: int = FILE_RECORDS) -> None:
+def write(resolved: DataFrame, path: str, date: str = DATE, file_bytes: int = FILE_BYTES) -> None:
     """Write what ``resolve`` returns as gzipped archives under ``path``."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            out = []
             for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
                 i, u, p, d, kind, ref = (x.as_py() for x in row)
-                out.append(gzip.compress(record(i, u, p, d, kind, ref, date), 6, mtime=0))
-                if len(out) == 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-
-    members = resolved.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(packed, "member binary")
-    (members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records).text(path))
+                held.append(gzip.compress(record(i, u, p, d, kind, ref, date), 6, mtime=0))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
+
+    files = resolved.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(packed, "members binary")
+    # One row is one file; the writer's line end is an empty member.
+    files.select(F.col("members").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

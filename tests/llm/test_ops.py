@@ -317,7 +317,7 @@ def test_warc(spark):
     body = "<p>" + "x" * 200
     df = spark.createDataFrame([(5, "http://a/ b", body), (3, None, body), (3, None, body), (9, "http://c", None), (None, "http://d", body), (7, "u", "é" * 80 + "WARC/1.1\r\n\r\n"), (8, "u", "short"), (10, "u", "short")], "page_id long, url string, html string")
     path = f"{shared_dir(spark)}/test-warc-{random.random()}"
-    warc.write(warc.resolve(df), path, file_records=2)
+    warc.write(warc.resolve(df), path, file_bytes=500)
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.with_originals(warc.read(spark, path)).collect()), key=str)
     assert got == sorted([(5, 203, "revisit", 3), (3, 203, "response", None), (3, 203, "response", None), (9, 0, "response", None), (None, 203, "revisit", 3), (7, 172, "response", None), (8, 5, "response", None), (10, 5, "response", None)], key=str)
     kept = {r.page_id: r.payload for r in warc.read(spark, path, payloads=True).where("record_type = 'response'").collect()}
