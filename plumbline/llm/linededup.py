@@ -4,7 +4,7 @@ A line's set is its distinct words in lower case. A line is removed if an earlie
 a set whose Jaccard similarity to its own is NUM / DEN or more; whether the earlier line was removed itself doesn't matter.
 
 Lines of equal sets are one class, which stands where its first line does; its other lines go. Between classes the join takes
-tokens from rare to frequent (by counts over the whole corpus, kept in a fixed number of buckets) and uses
+tokens from rare to frequent (by the rank of their bucket, of a fixed number, by counts over the whole corpus) and uses
 
 * the prefix filter: a pair must share a token in the longer set's first ``n - ceil(t n) + 1`` and the shorter one's first
   ``n - ceil(2 t / (1 + t) n) + 1`` tokens;
@@ -23,18 +23,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, stored
 
 NUM, DEN = 9, 10
 SPACE = r"[\x20\x09-\x0D]+"
-#: Buckets of the frequency table: one row of so many counts, whatever the corpus. So many groups fit the aggregation's fast map.
-BUCKETS = 1 << 16
+#: Buckets of the frequency table, by a hash's top bits: so many counts, whatever the corpus. They fit the aggregation's fast map.
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 #: Prefixes that share a token from which its list counts as hot, and how many early lines stand for it.
 HOT, CENTRES = 512, 8
-#: Hot tokens up to which they are broadcast (4 bytes each); beyond, the join shuffles.
+#: Hot tokens up to which they are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_TOKENS = 200_000
 #: Longs of the bitmaps that say which rows may have a partner: a megabyte, whatever the corpus. Full ones only stop helping.
 BITMAP_LONGS = 1 << 17
@@ -48,7 +49,7 @@ def _words(text: Column) -> Column:
 
 
 def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1))
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS)
 
 
 def _bit(n: Column) -> Column:
@@ -63,18 +64,20 @@ def _dense(counts: DataFrame, slot: str, value: str, size: int) -> DataFrame:
     return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("all_slot", "v"))), lambda s: s["v"]).alias("dense"))
 
 
-def frequencies(docs: DataFrame, text: str) -> bytes:
-    """One byte for each bucket of words, higher where more words of the corpus fall: a third of an octave a step.
+def rarity(docs: DataFrame, text: str) -> str:
+    """For each bucket of words, comma-joined, what turns a hash by XOR into a sort key: its top bits become the bucket's rank by count.
 
-    BUCKETS bytes come to the driver, whatever the corpus. Only the join's order rests on them, so words are cut at spaces and
-    line ends only, in one step; words beside other white space count under another bucket.
+    The ranks of BUCKETS buckets come to the driver, whatever the corpus. Only the join's order rests on them, so words are cut
+    at spaces and line ends only, in one step; words beside other white space count under another bucket.
     """
     flat = F.replace(F.lower(F.col(f"`{text}`")), F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(F.split(flat, " ")).alias("w")).where("w != ''")
     counts = words.select(_bucket(F.xxhash64("w")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(126)).cast("bigint")
-    dense = _dense(counts.select("slot", level.alias("level")), "slot", "level", BUCKETS)
-    return dense.select(F.array_join(F.transform("dense", lambda v: F.char(v + 1)), "").alias("s")).first()["s"].encode("ascii")
+    all_ = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").alias("all_slot"))
+    ranked = all_.join(counts, F.col("all_slot") == F.col("slot"), "left").select("all_slot", (F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "all_slot")) - 1).alias("rank"))
+    # Keys are signed: the lowest rank has the lowest top bits.
+    turn = F.call_function("shiftleft", (F.col("rank") - BUCKETS // 2).cast("bigint").bitwiseXOR(F.col("all_slot")), F.lit(64 - BUCKET_BITS))
+    return ranked.select(F.struct("all_slot", turn.alias("v")).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["v"].cast("string")), ",").alias("s")).first()["s"]
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -88,14 +91,13 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, rid, line, h1, h2, n, parity, prefix) of each line with a word.
 
-    (h1, h2) names the set; prefix holds the first tokens, rare ones first, as 32-bit hashes.
+    (h1, h2) names the set; prefix holds the first tokens, rare ones first, as sort keys.
     """
     # A literal that the optimiser folds into an array of longs.
-    levels = F.split(F.lit(",".join(map(str, frequencies(docs, text)))), ",").cast("array<bigint>")
+    turns = F.split(F.lit(rarity(docs, text)), ",").cast("array<bigint>")
 
     def key(h: Column) -> Column:
-        # The level of the word's bucket on top, then 56 bits of its hash: rare words sort first.
-        return F.shiftleft(F.get(levels, _bucket(h).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return h.bitwiseXOR(F.get(turns, _bucket(h).cast("int")))
 
     # Words are hashed once, in a step of their own: a lambda that names its argument twice computes it twice.
     hashed = _lines(docs, doc_id, text).select("doc", "rid", "line", F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w))).alias("hashes"))
@@ -110,7 +112,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.xxhash64(F.lit(1), F.col("keys")).alias("h2"),
         "n",
         F.aggregate("keys", zero, lambda a, x: a.bitwiseXOR(_bit(x.bitwiseAND(F.lit(63))))).alias("parity"),
-        F.transform(F.slice("keys", 1, F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").cast("int") + 1), lambda k: F.shiftright(F.shiftleft(k, 8), 32).cast("int")).alias("prefix"),
+        F.slice("keys", 1, F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").cast("int") + 1).alias("prefix"),
     )
 
 
