@@ -45,8 +45,8 @@ HEAD_PASSES, MOVED = 3, 512
 HELD_WORDS = 400_000
 #: Pairs of head words that a task holds before it sends them on; below 1 << 27 (see _contexts, which takes a HEAD of up to 1 << 17).
 HELD_PAIRS = 1_500_000
-#: Rows of one Arrow batch that a step sends.
-SENT = 80_000
+#: Rows of one Arrow batch that a step sends, and texts whose numbers it takes at once.
+SENT, TEXTS = 80_000, 512
 #: The class in which rare words begin.
 RARE = CLASSES + 1
 #: The end of a document; no word has a space.
@@ -207,6 +207,12 @@ class Model:
     vocabulary: int
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _fed(df: DataFrame, f, schema: str) -> DataFrame:
     """f over slices of df's batches."""
 
@@ -218,12 +224,12 @@ def _fed(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _summed(df: DataFrame, add, size: int) -> np.ndarray:
-    """The sum over df's batches of add(batch), (places, counts), as an array of size; tasks add up first."""
+def _summed(df: DataFrame, add, size: int, sliced: bool = False) -> np.ndarray:
+    """The sum over df's batches of add(batch), (places, counts), as an array of size; tasks add up first. ``sliced``: a few texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size)
-        for batch in batches:
+        for batch in _sliced(batches) if sliced else batches:
             places, counts = add(batch)
             held += np.bincount(places, counts, size)
         at = np.flatnonzero(held)
@@ -342,7 +348,7 @@ def _learnt(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
         seq = np.where(seq < 0, RARE, seq)
         return seq[:-1] * size + seq[1:], np.ones(len(seq) - 1)
 
-    seen = _summed(train.select("ids"), sides, size * size).reshape(size, size)
+    seen = _summed(train.select("ids"), sides, size * size, True).reshape(size, size)
     rare = stored(_rare_classes(_spots(train, known), seen), "lm-rare")
     spots = stored(_resolved(_spots(tokens, known), rare), "lm-spots")
     n_classes = CLASSES + SHAPES + 1
@@ -353,7 +359,7 @@ def _learnt(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
         out = np.concatenate([before * n_classes + mine, mine[after >= 0] * n_classes + after[after >= 0]])
         return out, np.ones(len(out))
 
-    step = _summed(spots.where("NOT held_out").select("spots"), steps_of, n_classes * n_classes).reshape(n_classes, n_classes)
+    step = _summed(spots.where("NOT held_out").select("spots"), steps_of, n_classes * n_classes, True).reshape(n_classes, n_classes)
     step[np.ix_(place, place)] += seen[:n_all, :n_all]
     steps = np.log10((step + ALPHA) / (step.sum(1, keepdims=True) + ALPHA * n_classes))
     scored = np.append(place, -1)[of]  # -1 stays
@@ -459,8 +465,9 @@ def _bigrams(train: DataFrame, n_head: int) -> DataFrame:
                 part = slice(at, at + SENT)
                 yield pa.RecordBatch.from_arrays([pa.array(code[part]), pa.array(n[part], pa.int64())], names=["code", "n"])
 
-        for batch in batches:
-            seq = _sequence(batch.column(0), np.arange(width))[0]
+        ids = np.arange(width)
+        for batch in _sliced(batches):
+            seq = _sequence(batch.column(0), ids)[0]
             on = (seq[:-1] >= 0) & (seq[1:] >= 0)
             held.append(seq[:-1][on] * width + seq[1:][on])
             size += len(held[-1])
@@ -482,7 +489,7 @@ def _spots(tokens: DataFrame, known) -> DataFrame:
         of, open_ = known.value
         extra, place = pa.array(list(open_.values()), pa.binary()), np.zeros(len(of), dtype=np.int64)
         place[list(open_)] = np.arange(len(open_))
-        for batch in batches:
+        for batch in _sliced(batches):
             seq, at, text, flat = _sequence(batch.column(2), of)
             hole = np.flatnonzero(seq[at] < 0)
             rare = batch.column(3).flatten()
@@ -503,18 +510,36 @@ def _rare_classes(spots: DataFrame, seen: np.ndarray) -> DataFrame:
     """(word, n, class) of all rare words: each moves from RARE to its best class, all at once."""
     wide = RARE + 1
     shared = spots.sparkSession.sparkContext.broadcast(seen)
-    here = spots.groupBy("word", ((F.col("before") + 1) * wide + F.col("after") + 1).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    code = ((F.col("before") + 1) * wide + F.col("after") + 1).cast("int").alias("code")
+    # One shuffle for both sums: a word's places are all in its partition, and no rare word has many.
+    here = spots.select("word", code).repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
     beside = here.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("code", "n")).alias("xs"))
 
-    def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
-        word, code, count = _entries(batch.column(2))
+    def best(word: np.ndarray, code: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
         before, after = code // wide - 1, code % wide - 1
         ctx = np.concatenate([np.where(before < 0, RARE, before) * 2 + 1, np.where(after < 0, RARE, after) * 2]).astype(np.int64)
-        none = np.full(batch.num_rows, -1)
-        best = moves(shared.value, none, np.concatenate([word, word]), ctx, np.concatenate([count, count]), np.zeros(len(none)), none)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int64))], names=["word", "n", "class"])
+        none = np.full(size, -1)
+        return moves(shared.value, none, np.concatenate([word, word]), ctx, np.concatenate([count, count]), np.zeros(size), none)
 
-    return _fed(beside, moved, "word binary, n long, class long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.full(wide * wide, -1)  # of words that occur once: their class rests on their place only
+        for whole in batches:
+            for batch in (whole.slice(at, MOVED) for at in range(0, whole.num_rows, MOVED)):
+                word, code, count = _entries(batch.column(2))
+                once = batch.column(1).to_numpy() == 1
+                out = np.zeros(len(once), dtype=np.int64)
+                single = code[once[word]]
+                new = np.unique(single[known[single] < 0])
+                if len(new):
+                    known[new] = best(np.arange(len(new)), new, np.ones(len(new)), len(new))
+                out[once] = known[single]
+                if not once.all():
+                    on = ~once[word]
+                    place = np.cumsum(~once) - 1
+                    out[~once] = best(place[word[on]], code[on], count[on], int((~once).sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["word", "n", "class"])
+
+    return beside.mapInArrow(run, "word binary, n long, class long")
 
 
 def _resolved(spots: DataFrame, rare: DataFrame) -> DataFrame:
@@ -543,7 +568,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs, steps, below = shared.value
-        for batch in batches:
+        for batch in _sliced(batches):
             size = batch.num_rows
             seq, at, text, flat = _sequence(batch.column(3), known)
             gain = np.full(len(seq), logs[-1])
@@ -556,7 +581,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, steps, below = shared.value
-        for batch in batches:
+        for batch in _sliced(batches):
             doc, before, after, of, n = _runs(batch.column(1), len(below) - 1)
             step = steps[before, of] + np.where(after >= 0, steps[of, after], 0)
             sums = [np.bincount(doc, x, batch.num_rows) for x in (n > 0, np.log10(n + 1.0), step, below[of])]
