@@ -334,11 +334,124 @@ def test_extract(spark):
     assert got[3] == "Title 3\nFirst & bold text 3\nSecond 3" and got[20] == got[21] == "" and got[22] == "plain words\nmore"
     assert extract.extract(df.limit(0)).count() == 0
     one, two = extract.expression(extract.parse(page(1))), extract.expression(extract.parse(page(2, "<ul><li>x<li>y</ul>")))
-    wrapper = extract.aligned([one, two])
+    wrapper, loose = extract.aligned([one, two])
+    assert not loose
     article = next(i for i in wrapper if i[0] == "article")
     assert [(i[0], i[1]) for i in article[5]] == [("h1", "1"), ("p", "+"), ("ul", "?"), ("aside", "1")] or article[5][1][1] == "+"
 
 
+def read_alone(page, *others):
+    """A page's text under the wrapper of itself and the others."""
+    shapes = {}
+    for p in (page, *others):
+        e = extract.expression(extract.parse(p))
+        shapes[extract.shape(e)] = extract._added(shapes[extract.shape(e)], e) if extract.shape(e) in shapes else e
+    return "\n".join(extract.blocks(extract.parse(page), extract.plan(*extract.aligned([shapes[k] for k in sorted(shapes)]))))
+
+
+def test_extract_hostile_pages():
+    assert read_alone("<div>" * 5000 + "<p>deep text<p>more" + "</div>" * 5000) == "deep text\nmore"
+    assert read_alone("<article><p>" + "<b>" * 5000 + "x" + "</b>" * 5000 + "<p>y</article>") == "x\ny"
+    assert read_alone("<div>" * 200 + "<nav><div><a>menu</a></div></nav><p>text" + "</div>" * 200 + "<p>end") == "text\nend"
+    assert read_alone("<p title=it's>Alpha</p>") == "Alpha"
+    assert read_alone("<article><p title='a>b'>x</p><p data-x=\"<p>\">y</article>") == "x\ny"
+    assert read_alone('<article><a x="open <p>text') in ("text", '<a x="open\ntext')
+    for page in ('<a x="' * 200_000, "<" * 300_000, "<p>a" + "</div>" * 100_000, "<p>a" + "</script " * 100_000, "<ul>" + "<li>x" * 50_000, "<h2>a</h2><p>b</p>" * 10_000):
+        read_alone("<article>" + page)  # linear: seconds, not minutes
+    assert read_alone("<p>" + "word " * 2_000_000) == ("word " * 2_000_000).strip()
+
+
+def test_extract_keeps_what_copies_share():
+    page = "<div class=content><h1>The Title</h1><p>One paragraph.</p></div>"
+    assert read_alone(page, *[page] * 8) == "The Title\nOne paragraph."
+    framed = lambda k: f"<div class=content><div class=strip>Same everywhere</div><h1>Title {k}</h1><p>Paragraph {k}.</p></div>"
+    assert read_alone(framed(0), *map(framed, range(1, 9))) == "Title 0\nParagraph 0."
+    assert read_alone("<article><header><h1>T</h1></header><div class=related-work><p>x</p></div><div class=cookie-notice>c</div><header>no</header></article>") == "T\nx"
+
+
+def test_extract_groups():
+    items = extract.expression(extract.parse("<h2>a</h2><p>b</p>" * 3 + "<h2>a</h2><p>b</p><p>c</p>"))
+    assert [i[:2] for i in items] == [["(h2 p)", "+"]] and [i[:2] for i in items[0][5]] == [["h2", "1"], ["p", "+"]]
+    once = extract.expression(extract.parse("<h2>a</h2><p>b</p><ul><li>x</ul>"))
+    assert [i[:2] for i in extract.align(items, once)] == [["(h2 p)", "+"], ["ul", "?"]]
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        pairs = extract._matches(a, b)
+        assert all(a[x] == b[y] for x, y in pairs) and pairs == sorted(pairs) and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1]
+
+
+def test_extract_planted_truth_under_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(extract, "FAN", 5)
+    rng = random.Random(7)
+    given, want = [], {}
+    for k in range(60):
+        body = [f"word{rng.randrange(1000)} in paragraph {k} {j}" for j in range(rng.randrange(1, 6))]
+        extra = rng.choice(["", "<ul><li>one<li>two</ul>", "<blockquote>said</blockquote>"])
+        lines = [f"Head {k}", *body, *({"": [], "<ul><li>one<li>two</ul>": ["one", "two"]}.get(extra, ["said"]))]
+        inner = f"<h1>Head {k}</h1>" + "".join(f"<p>{x}</p>" for x in body) + extra
+        frame = ("<article>%s</article>", "<div id=content><div class=tagline>Always here</div>%s</div>", "<main>%s<div class='share'>Tell</div></main>")[k % 3]
+        given.append((k, f"https://h{k % 3}.example/{k}", f"<body><nav><a>Home</a></nav>{rng.choice(['', '<div class=ad>Buy</div>'])}{frame % inner}<footer>Contact {k}</footer>"))
+        want[k] = "\n".join(lines)
+    given += [given[0], (100, "https://h0.example/x", None)]
+    df = spark.createDataFrame(given, "page_id long, url string, html string")
+    one = sorted(map(tuple, extract.extract(df.repartition(1)).collect()))
+    assert one == sorted(map(tuple, extract.extract(df.repartition(7)).collect()))
+    assert {r[0]: r[2] for r in one} == {**want, 100: ""} and len(one) == len(given)
+
+
+def test_secrets_long_texts():
+    scanner = secrets.Scanner()
+    for text in (b"eyJ" * 500_000, b"eyJa.eyJb " * 100_000, b"password" * 100_000, b"token = " * 100_000, b"AKIA" * 200_000, b"0123456789abcdef" * 100_000, b"4" * 1_000_000):
+        scanner.spans(text)  # linear: seconds, not minutes
+    assert scanner.spans(b"AKIA" * 200_000) == [("access", 0, 800_000)]
+
+
+def test_secrets_empty_table_and_clashing_names(spark, empty, odd):
+    assert secrets.scan(empty).count() == 0
+    out = secrets.scan(odd.withColumn("secrets", F.lit(1)).withColumn("body", F.lit(2)))
+    assert out.columns[-1] == "_secrets" and out.count() == len(ODD)
+
+
+def test_chat_long_conversation(spark):
+    n = 50_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|x "), F.col("id").cast("string"), F.repeat(F.lit(" y"), 20)).alias("text"))
+    made = chat.format_chat(turns)
+    got = made.select(F.size(chat.read_back(F.col("formatted"))).alias("n"), F.sha2(chat.masked(F.col("formatted"), F.col("loss")), 256).alias("h")).first()
+    assert got.n == n and got.h == hashlib.sha256("".join(f"é<|x {k}" + " y" * 20 for k in range(1, n, 2)).encode()).hexdigest()
+
+
+def test_chat_numbers_attachments_over_turns(spark):
+    part = lambda kind, ref, text=None: f"named_struct('type', '{kind}', 'text', {'NULL' if text is None else repr(text)}, 'ref', {'NULL' if ref is None else repr(ref)}, 'units', CAST(NULL AS BIGINT))"
+    rows = [f"SELECT 1 AS conv_id, {k} AS turn, 'user' AS role, array({part('text', None, 'a <|#|> <')}, {part('image', f'i{k}')}, {part('text', None, '|#')}, {part('audio', f'a{k}')}) AS parts" for k in range(12)]
+    one = chat.format_chat(spark.sql(" UNION ALL ".join(rows)), parts="parts").first()
+    assert [a.number for a in one.attachments] == list(range(1, 25)) and [a.ref for a in one.attachments][:4] == ["i0", "a0", "i1", "a1"]
+    assert [t.text for t in spark.createDataFrame([one]).select(chat.read_back(F.col("formatted")).alias("t")).first().t] == [f"a <|#|> <<|image:{2 * k + 1}|>|#<|audio:{2 * k + 2}|>" for k in range(12)]
+
+
+def test_warc_hot_digests_and_large_pages(spark):
+    body, big = "<p>" + "x" * 200, "z" * 3_000_000
+    df = spark.createDataFrame([(k, f"http://a/{k}", body if k % 3 else ("s" if k % 2 else big)) for k in range(60)], "page_id long, url string, html string")
+    for few in (100_000, 0):  # with and without a broadcast
+        warc_few, warc.BROADCAST_REVISITS = warc.BROADCAST_REVISITS, few
+        try:
+            path = f"{shared_dir(spark)}/test-warc-{random.random()}"
+            warc.write(warc.resolve(df), path, file_bytes=2000)
+            got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.with_originals(warc.read(spark, path)).collect()}
+        finally:
+            warc.BROADCAST_REVISITS = warc_few
+        assert got == {k: (203, "revisit" if k > 1 else "response", 1 if k > 1 else None) if k % 3 else ((1, "response", None) if k % 2 else (3_000_000, "revisit" if k else "response", 0 if k else None)) for k in range(60)}
+    empty = df.limit(0)
+    path = f"{shared_dir(spark)}/test-warc-{random.random()}"
+    warc.write(warc.resolve(empty), path)
+    assert warc.read(spark, path).count() == 0
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 
@@ -351,6 +464,90 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([(4, A), (None, other), (5, third), (11, None), (11, "")], key=str)
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on a small table with copies, repeated rows, null ids and texts, against plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    line = lambda n=12: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared = line(14)
+    texts = ["\n".join(line() for _ in range(4)) for _ in range(20)]
+    texts += [texts[0], texts[1] + "\n" + shared, texts[2] + "\n" + shared, "few words", "# $ % " * 30, "same line\n" * 20, None, "", texts[3].upper()]
+    given = [(k, t, "en", "ab"[k % 2] if k % 5 else None, 3) for k, t in enumerate(texts)]
+    given += [given[4], given[4], (None, texts[5], "en", "a", 3), (None, line(30), "en", "b", 3), (3, line(40), "en", "a", 3)]
+    df = spark.createDataFrame(given, SCHEMA)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    pairs = lambda out: sorted([(r.doc_id, r.text) for r in out.collect()], key=key)
+
+    kept = []
+    for i, t, *_ in given:
+        view = quality.View((t or "").encode())
+        if not any(r.rejects(view) for r in quality.RULES):
+            kept.append((i, t))
+    out = corpus_pipeline.quality_rules(spark, df, D)
+    assert pairs(out) == sorted(kept, key=key) and out.columns == df.columns
+
+    # Rows of one id and text are one row for line dedup; a null id comes first; then the text's hash.
+    ids = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    seen, want = [], {}
+    for i, t in sorted(ids, key=lambda r: (r[0] is not None, r[0] or 0, ids[r])):
+        if t is None:
+            continue
+        stay = []
+        for x in t.split("\n"):
+            s = frozenset(re.findall(r"[^\x20\x09-\x0D]+", x.lower()))
+            if not s or not any(linededup.DEN * len(s & o) >= linededup.NUM * len(s | o) for o in seen):
+                stay.append(x)
+            if s:
+                seen.append(s)
+        want[i, t] = "\n".join(stay)
+    lines = [(i, want[i, t]) for i, t, *_ in given if t is not None and (want[i, t] == t or want[i, t].split())] + [(i, t) for i, t, *_ in given if t is None]
+    out = corpus_pipeline.line_dedup(spark, df, D)
+    assert pairs(out) == sorted(lines, key=key)
+    assert all(r.n_chars == len(r.text) for r in out.where("text IS NOT NULL").collect())
+
+    sets = [shingled(t) for _, t, *_ in given]
+    up = list(range(len(given)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(given)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for k, row in enumerate(given):
+        groups[find(k)].append(row)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, D).collect())
+    assert sum(got.values()) == len(groups)
+    for rows_ in groups.values():
+        low = min((r[0] is None, r[0] or 0) for r in rows_)
+        assert any(got[r[0], r[1]] for r in rows_ if (r[0] is None, r[0] or 0) == low)
+
+    bench = [r.text for r in table(spark, D, "benchmark").collect()]
+    dirty = spark.createDataFrame([(1, "clean words of no item at all here in this text", "en", "a", 1), (2, line(20) + " " + bench[0] + " " + line(20), "en", "a", 1), (3, bench[1], "en", "a", 1), (None, None, None, None, None)], SCHEMA)
+    cleaned = {r.doc_id: r.text for r in corpus_pipeline.decontamination(spark, dirty, D).collect()}
+    assert cleaned[1] == "clean words of no item at all here in this text" and None in cleaned and 3 not in cleaned
+    assert bench[0] not in cleaned.get(2, "")
+
+    mixed_ = corpus_pipeline.source_mix(spark, df, D).collect()
+    copies = collections.Counter((r.doc_id, r.text) for r in mixed_)
+    rows_of = collections.Counter((i, t) for i, t, *_ in given)
+    assert all(n <= 3 * rows_of[r] for r, n in copies.items()) and (6, None) not in copies
+    assert sorted(map(tuple, mixed_), key=str) == sorted(map(tuple, corpus_pipeline.source_mix(spark, df.repartition(3), D).collect()), key=str)
+    nothing = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, D).count() == 0
+    clashing = df.withColumn("copy", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("row", F.lit(3))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, clashing, D).columns == clashing.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
