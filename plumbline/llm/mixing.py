@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
 A source's target is its share, by weight, of the total size, at most ``cap`` times its own size; what a cap cuts off is shared
-among the others by weight. A document expects ``target / source size`` copies, more or fewer by an optional weight. It gets
-the whole copies for certain. The fraction left is its inclusion probability p: documents are ranked by the odds of a uniform
+among the others by weight. Within a source, a document expects ``level * weight`` copies, ``cap`` at most; the level makes the expected sizes sum to the
+target, so weights shift copies between documents and leave the source's share as it is. A document gets the whole copies for certain. The fraction left is its inclusion probability p: documents are ranked by the odds of a uniform
 number u divided by the odds of p, lowest first, and taken until the source's target is met as nearly as whole documents can.
 
 No task holds a source: the rank is a 24-bit key, and the key at which the target is met is found eight bits at a time from
 sums over (source, digit), 256 rows a source. Only documents of that one key are ordered exactly.
 
-Defined results: a null text has size 0 and is never taken; sources go by code point, null last; repeated rows share their
+Defined results: weights are rounded to an eighth of an octave, so that a source has few of them; a document of weight 0 comes last;
+a null text has size 0 and is never taken; sources go by code point, null last; repeated rows share their
 random number and are taken one after another; an empty table gives an empty result; other columns pass through, and a result
 column that clashes gets leading underscores.
 """
@@ -52,6 +53,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return df.select(*sizes.columns, F.when(F.col("first_open").isNull(), F.col("full")).otherwise(F.least(F.col("full"), F.col("first_open.level") * F.col("w"))).alias("target"))
 
 
+def _levels(plan: DataFrame, cells: DataFrame, cap: float) -> DataFrame:
+    """``plan`` (source, source_size, target) with ``level``: copies that weight 1 expects, null if all documents reach the cap.
+
+    ``cells`` (source, weight, cell_size) are few a source. By falling weight, each cell reaches the cap before the next; the first
+    that doesn't, with all heavier ones at the cap, sets the level.
+    """
+    own = plan.select(F.col("source").alias("t_source"), "target")
+    df = cells.where("cell_size > 0").join(own, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    by = Window.partitionBy("source").orderBy(F.desc("weight"))
+    full = F.coalesce(F.sum(F.col("cell_size") * float(cap)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(F.col("cell_size") * F.col("weight")).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    df = df.withColumn("at", (F.col("target") - full) / F.when(rest > 0, rest))
+    open_ = F.when(F.col("at") * F.col("weight") < cap, F.struct((-F.col("weight")).alias("order"), F.col("at").alias("level")))
+    first = df.groupBy("source").agg(F.min(open_).alias("o"), F.max("weight").alias("most")).select(F.col("source").alias("l_source"), F.when(F.col("most") > 0, F.col("o.level")).alias("level"))
+    return plan.join(first, F.col("source").eqNullSafe(F.col("l_source")), "left").drop("l_source")
+
+
 def _joined(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     p = F.broadcast(plan) if small else plan
     return rows.join(p.withColumnRenamed("source", "p_source"), F.col("source").eqNullSafe(F.col("p_source")), "left").drop("p_source")
@@ -62,13 +80,14 @@ def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
 
     ``id`` is any hash that tells rows apart; rows that share it and the size share their random number.
     """
-    base = stored(rows, "mix-sizes")
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
-    plan = stored(targets(sums, weights, cap), "mix-plan")
+    rounded = F.pow(F.lit(2.0), F.round(F.log2(F.when(F.col("weight") > 0, F.col("weight"))) * 8) / 8)
+    base = stored(rows.withColumn("weight", F.coalesce(rounded, F.lit(0.0))), "mix-sizes")
+    cells = base.groupBy("source", "weight").agg(F.sum("size").alias("cell_size"))
+    plan = stored(_levels(targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, cap), cells, cap), "mix-plan")
     small = plan.count() <= BROADCAST_SOURCES
 
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("size")), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    expected = F.when((F.col("weighed") > 0) & (F.col("size") > 0), F.least(F.lit(float(cap)), F.col("target") * F.col("weight") / F.col("weighed"))).otherwise(F.lit(0.0))
+    expected = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), F.coalesce(F.col("level") * F.col("weight"), F.lit(float(cap))))).otherwise(F.lit(0.0))
     df = _joined(base, plan, small).withColumn("expected", expected).withColumn("whole", F.floor("expected"))
     p = F.col("expected") - F.col("whole")
     odds = (F.col("u") / (1 - F.col("u"))) / F.when(p > 0, p / (1 - p))
@@ -76,7 +95,7 @@ def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     df = df.withColumn("u", u).withColumn("rank", F.when(p > 0, odds / (1 + odds)).otherwise(F.col("u") / 2**20 + (1 - 2**-20)))
     can = (F.col("size") > 0) & (F.col("whole") < cap)
     top = 1 << (8 * DIGITS)
-    df = df.withColumn("key", F.when(can, F.least(F.floor(F.col("rank") * top), F.lit(top - 1)))).drop("expected", "weight", "weighed")
+    df = df.withColumn("key", F.when(can, F.least(F.floor(F.col("rank") * top), F.lit(top - 1)))).drop("expected", "weight", "level")
     df = stored(df, "mix-ranks")
 
     # What is left for the fraction, and the key at which it is met: one digit at a time.
@@ -100,6 +119,11 @@ def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")).drop("whole", "extra", "rank", "key", "left", "prefix", "u")
 
 
+def by_length(size: Column) -> Column:
+    """The production weights: texts of 50 to 5,000 words count twice as much as shorter and longer ones."""
+    return F.when(size.between(50, 5000), 2.0).otherwise(1.0)
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 8) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): what the mix takes of each document, without the texts."""
     rows = docs.select(

@@ -78,7 +78,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = mixing.mix(table(spark, sf_dir, "documents"), weight=mixing.by_length(mixing.size_of(F.col("text"))))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 

@@ -313,6 +313,36 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.mixed(odd).columns == [*odd.columns, "copy"]
 
 
+def test_mixing_draws_by_weight(spark):
+    rng = random.Random(9)
+    given = [(k, " ".join(["w"] * rng.randrange(1, 40)), "ab"[k % 2], rng.choice([0.5, 1.0, 2.0, 4.0])) for k in range(400)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, w double")
+    sizes = {k: len(t.split()) for k, t, *_ in given}
+    taken = collections.Counter()
+    runs = 12
+    for seed in range(runs):
+        got = mixing.mix(df, weight=F.col("w"), weights=(5.0, 1.0), seed=seed).collect()
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= 40 and all(r.copies <= 3 for r in mine)
+        taken.update({r.doc_id: r.copies for r in got})
+    for s in "ab":
+        rows_ = [(k, w) for k, _, source, w in given if source == s]
+        target = next(r.target for r in got if r.source == s)
+        low, high = 0.0, 100.0
+        for _ in range(80):  # the level at which the expected sizes make the target
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(sizes[k] * min(3, mid * w) for k, w in rows_) < target else (low, mid)
+        for w in (0.5, 1.0, 2.0, 4.0):
+            ids = [k for k, x in rows_ if x == w]
+            want = min(3, low * w)
+            p = want - int(want)
+            mean = sum(taken[k] for k in ids) / len(ids) / runs
+            assert abs(mean - want) <= 5 * (p * (1 - p) / (len(ids) * runs)) ** 0.5 + 0.05
+            if w in (0.5, 4.0):  # certain copies come in every run
+                assert all(taken[k] >= int(want + 1e-9) * runs for k in ids)
+
+
 def test_warc(spark):
     body = "<p>" + "x" * 200
     df = spark.createDataFrame([(5, "http://a/ b", body), (3, None, body), (3, None, body), (9, "http://c", None), (None, "http://d", body), (7, "u", "é" * 80 + "WARC/1.1\r\n\r\n"), (8, "u", "short"), (10, "u", "short")], "page_id long, url string, html string")
@@ -429,9 +459,10 @@ def test_chat_long_conversation(spark):
 def test_chat_numbers_attachments_over_turns(spark):
     part = lambda kind, ref, text=None: f"named_struct('type', '{kind}', 'text', {'NULL' if text is None else repr(text)}, 'ref', {'NULL' if ref is None else repr(ref)}, 'units', CAST(NULL AS BIGINT))"
     rows = [f"SELECT 1 AS conv_id, {k} AS turn, 'user' AS role, array({part('text', None, 'a <|#|> <')}, {part('image', f'i{k}')}, {part('text', None, '|#')}, {part('audio', f'a{k}')}) AS parts" for k in range(12)]
-    one = chat.format_chat(spark.sql(" UNION ALL ".join(rows)), parts="parts").first()
+    made = chat.format_chat(spark.sql(" UNION ALL ".join(rows)), parts="parts")
+    one = made.first()
     assert [a.number for a in one.attachments] == list(range(1, 25)) and [a.ref for a in one.attachments][:4] == ["i0", "a0", "i1", "a1"]
-    assert [t.text for t in spark.createDataFrame([one]).select(chat.read_back(F.col("formatted")).alias("t")).first().t] == [f"a <|#|> <<|image:{2 * k + 1}|>|#<|audio:{2 * k + 2}|>" for k in range(12)]
+    assert [t.text for t in made.select(chat.read_back(F.col("formatted")).alias("t")).first().t] == [f"a <|#|> <<|image:{2 * k + 1}|>|#<|audio:{2 * k + 2}|>" for k in range(12)]
 
 
 def test_warc_hot_digests_and_large_pages(spark):
