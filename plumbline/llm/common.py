@@ -25,20 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "/tmp/plumbline-checkpoints"
     return at.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables; see ``clear``."""
+    return f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{what}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored; results that aren't written elsewhere can't be read after it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, in either case."""
     taken = {c.lower() for c in df.columns}

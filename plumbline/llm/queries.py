@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, classlm, decontaminate, extract, linededup, mixing, neardup, quality, secrets, sql, warc
-from .common import shared_dir, stored, table
+from .common import run_dir, stored, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/plumbline/warc-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
     return warc.with_originals(stored(warc.read(spark, path), "warc-index"))
 
