@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name
 
@@ -153,11 +154,14 @@ def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     order = ordered(rules, measure(docs, text, rules))
     few, repeated = _rule(BASE_RULES[0], rules), _rule(BASE_RULES[1], rules)
     own = list(docs.columns) if keep is None else keep
-    body = free_name(docs, "body")
+    # A text that passes through is read where it stands, not sent twice.
+    body = text if text in own and docs.schema[text].dataType == T.StringType() else free_name(docs, "body")
     names = [free_name(docs.select(*own), c) for c in (["kept"] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"] * signals)]
-    wide = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(body))
+    extra = [] if body == text else [F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias(body)]
+    wide = docs.select(*[F.col(f"`{c}`") for c in own], *extra)
+    at = own.index(text) if body == text else len(own)
     types = ["boolean"] + ["long"] * 5 + ["boolean"]
-    schema = wide.drop(body).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema
     for name, kind in zip(names, types):
         schema = schema.add(name, kind)
 
@@ -165,8 +169,8 @@ def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
         for batch in batches:
             columns = [batch.column(k) for k in range(len(own))]
             out: list[list] = [[] for _ in names]
-            for x in batch.column(len(own)):
-                view = View(x.as_py())
+            for x in batch.column(at).cast(pa.binary()):
+                view = View(x.as_py() or b"")
                 out[0].append(not any(r.rejects(view) for r in order))
                 if signals:
                     for k, v in enumerate((view.n_words, view.word_chars, view.n_symbols, view.n_dup_lines, view.n_repeat_words, few.rejects(view) or repeated.rejects(view))):
