@@ -30,6 +30,7 @@ from .common import free_name, stored
 
 NUM, DEN = 9, 10
 SPACE = r"[\x20\x09-\x0D]+"
+BLANK = " \t\n\x0b\x0c\r"
 #: Buckets of the frequency table, by a hash's top bits: so many counts, whatever the corpus. They fit the aggregation's fast map.
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -56,12 +57,9 @@ def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int"))
 
 
-def _dense(counts: DataFrame, slot: str, value: str, size: int) -> DataFrame:
-    """One row with an array of ``size`` longs: the value of each slot from 0, or 0."""
-    spark = counts.sparkSession
-    all_ = spark.range(0, size, 1, 1).select(F.col("id").alias("all_slot"))
-    rows = all_.join(counts, F.col("all_slot") == F.col(slot), "left").select("all_slot", F.coalesce(value, F.lit(0)).cast("bigint").alias("v"))
-    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("all_slot", "v"))), lambda s: s["v"]).alias("dense"))
+def _every(rows: DataFrame, size: int) -> DataFrame:
+    """rows of (slot, v), with a zero for each of ``size`` slots: one aggregation then has all slots, without a join to fill gaps."""
+    return rows.select("slot", F.col("v").cast("bigint").alias("v")).union(rows.sparkSession.range(0, size, 1, 1).select("id", F.lit(0).cast("bigint")))
 
 
 def rarity(docs: DataFrame, text: str) -> str:
@@ -71,21 +69,23 @@ def rarity(docs: DataFrame, text: str) -> str:
     at spaces and line ends only, in one step; words beside other white space count under another bucket.
     """
     flat = F.replace(F.lower(F.col(f"`{text}`")), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).where("w != ''")
-    counts = words.select(_bucket(F.xxhash64("w")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    all_ = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").alias("all_slot"))
-    ranked = all_.join(counts, F.col("all_slot") == F.col("slot"), "left").select("all_slot", (F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "all_slot")) - 1).alias("rank"))
+    # The outer form: for the plain one the optimiser adds a filter that splits each text once more. A null isn't a word either.
+    words = docs.select(F.explode_outer(F.split(flat, " ")).alias("w")).where("w != ''")
+    found = words.select(_bucket(F.xxhash64("w")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("v"))
+    counts = _every(found, BUCKETS).groupBy("slot").agg(F.sum("v").alias("n"))
+    ranked = counts.select("slot", (F.row_number().over(Window.orderBy("n", "slot")) - 1).alias("rank"))
     # Keys are signed: the lowest rank has the lowest top bits.
-    turn = F.call_function("shiftleft", (F.col("rank") - BUCKETS // 2).cast("bigint").bitwiseXOR(F.col("all_slot")), F.lit(64 - BUCKET_BITS))
-    return ranked.select(F.struct("all_slot", turn.alias("v")).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["v"].cast("string")), ",").alias("s")).first()["s"]
+    turn = F.call_function("shiftleft", (F.col("rank") - BUCKETS // 2).cast("bigint").bitwiseXOR(F.col("slot")), F.lit(64 - BUCKET_BITS))
+    return ranked.select(F.struct("slot", turn.alias("v")).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["v"].cast("string")), ",").alias("s")).first()["s"]
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, rid, line, t) of each line; rid is the text's hash."""
+    """(doc, rid, line, t) of each line with a word; rid is the text's hash."""
     body = F.col(f"`{text}`")
     # In two steps: else each line would carry its whole text past the generator.
     split = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.xxhash64(body).alias("rid"), F.split(body, "\n", -1).alias("ts"))
-    return split.select("doc", "rid", F.posexplode("ts").alias("line", "t"))
+    # The outer form and a filter on the line itself: the plain form, or a filter on the words, has its input computed once more.
+    return split.select("doc", "rid", F.posexplode_outer("ts").alias("line", "t")).where(F.length(F.btrim("t", F.lit(BLANK))) > 0)
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -97,11 +97,11 @@ def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     turns = F.split(F.lit(rarity(docs, text)), ",").cast("array<bigint>")
 
     def key(h: Column) -> Column:
-        return h.bitwiseXOR(F.get(turns, _bucket(h).cast("int")))
+        return h.bitwiseXOR(turns[_bucket(h)])
 
     # Words are hashed once, in a step of their own: a lambda that names its argument twice computes it twice.
     hashed = _lines(docs, doc_id, text).select("doc", "rid", "line", F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w))).alias("hashes"))
-    rows = hashed.select("doc", "rid", "line", F.sort_array(F.transform("hashes", key)).alias("keys")).where(F.size("keys") > 0)
+    rows = hashed.select("doc", "rid", "line", F.sort_array(F.transform("hashes", key)).alias("keys"))
     rows = rows.select("doc", "rid", "line", "keys", F.size("keys").alias("n"))
     zero = F.lit(0).cast("bigint")
     return rows.select(
@@ -120,7 +120,8 @@ def _maybe(hashes: DataFrame) -> Callable[[Column], Column]:
     """Whether a hash may be among those in the only column of ``hashes``: a test on a bitmap, so that others needn't move to a join."""
     s = F.col(hashes.columns[0])
     at = hashes.select(F.shiftrightunsigned(s, 6).bitwiseAND(F.lit(BITMAP_LONGS - 1)).alias("slot"), _bit(s.bitwiseAND(F.lit(63))).alias("v"))
-    bitmap = stored(_dense(at.groupBy("slot").agg(F.bit_or("v").alias("v")), "slot", "v", BITMAP_LONGS), "line-bitmap").scalar()
+    words = _every(at, BITMAP_LONGS).groupBy("slot").agg(F.bit_or("v").alias("v"))
+    bitmap = stored(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("dense")), "line-bitmap").scalar()
     return lambda h: F.get(bitmap, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP_LONGS - 1)).cast("int")).bitwiseAND(_bit(h.bitwiseAND(F.lit(63)))) != 0
 
 

@@ -123,6 +123,16 @@ def test_line_dedup(spark, docs, odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_computes_words_once(spark, docs):
+    plan = linededup.prefixes(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    # Neither the words' hashes, nor the cut into lines, nor the table of ranks stands in a filter too.
+    assert plan.count("array_distinct(") == 1 and plan.count("split(text") == 1 and len(plan) < 2_000_000
+    blank = spark.createDataFrame([(1, " \t\x0b\n\r\x0c\na b\n\u00a0\n\n\t\u00a0 "), (2, "A\tb\n "), (3, None)], "doc_id long, text string")
+    got = rows(linededup.dedup_lines(blank))
+    assert got[1].text == " \t\x0b\n\r\x0c\na b\n\u00a0\n" and got[1].removed_lines == 1
+    assert got[2].text == " " and got[2].removed_lines == 1 and got[3].text is None
+
+
 def shingled(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
