@@ -22,13 +22,13 @@ where words tie at the head's edge, all of them stay out; an empty table gives a
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,25 +67,38 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), held_out(F.col(f"`{doc_id}`")).alias("held_out"), body.alias("body"))
 
 
+def _words(col: pa.BinaryArray) -> tuple[np.ndarray, pa.BinaryArray]:
+    """How many words each text has, and all of them in order, ASCII letters in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(col.view(pa.string())))
+    words, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at a text's edge leaves an empty one
+    text = np.repeat(np.arange(len(lengths)), lengths)[full.to_numpy(zero_copy_only=False)]
+    return np.bincount(text, minlength=len(lengths)), words.filter(full).view(pa.binary())
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Tables of (word, n) as one, each word once."""
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """(word, n) over training documents; counted in each task first."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            for x in batch.column(0):
-                held.update(x.as_py().lower().split())
-                held[END] += 1
-                if len(held) > HELD_WORDS:
-                    yield sent()
-        if held:
-            yield sent()
+        held, size, ends = [], 0, 0
+        for batch in (piece for whole in batches for piece in pieces(whole, 0)):
+            words = _words(batch.column(0))[1].value_counts()
+            held.append(pa.table({"word": words.field(0), "n": words.field(1)}))
+            size += len(words)
+            ends += batch.num_rows
+            if size > 2 * HELD_WORDS:
+                held = [_added(held)]
+                size = held[0].num_rows
+                if size > HELD_WORDS:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if ends:
+            yield from _added([*held, pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())})]).to_batches()
 
     return rows.where("NOT held_out").select("body").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -383,15 +396,15 @@ def _tokens(rows: DataFrame, head) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = head.value.get
         for batch in (piece for whole in batches for piece in pieces(whole, 3)):
-            ids, rare, ends, rare_ends = [], [], [0], [0]
-            for x in batch.column(3):
-                words = x.as_py().lower().split()
-                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                ids.append(at)
-                rare.extend([words[i] for i in np.flatnonzero(at < 0).tolist()])
-                ends.append(ends[-1] + len(words))
-                rare_ends.append(len(rare))
-            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, pa.array(np.concatenate(ids), pa.int32())), (rare_ends, pa.array(rare, pa.binary())))]
+            lengths, words = _words(batch.column(3))
+            coded = words.dictionary_encode()
+            # Each distinct word is looked up once.
+            number = np.fromiter(map(get, coded.dictionary.to_numpy(zero_copy_only=False), repeat(-1)), np.int32, len(coded.dictionary))
+            ids = number[coded.indices.to_numpy(zero_copy_only=False)]
+            rare = ids < 0
+            n_rare = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[rare], minlength=len(lengths))
+            ends, rare_ends = (pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()) for n in (lengths, n_rare))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(rare_ends, words.filter(pa.array(rare)))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *lists], names=["row", "doc_id", "held_out", "ids", "rare"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,13 @@ def test_class_lm(spark, docs, odd, empty):
     assert classlm.score(odd).count() == len(ODD) and classlm.score(empty).count() == 0
 
 
+def test_class_lm_words():
+    texts = [b"", b" A b\ta\x0b\x0c\r\nB ", b"\n", "É é\u00a0x\u2028y \x1c".encode(), b"a", b"  end"]
+    for part in (pa.array(texts, pa.binary()), pa.array([b"before", *texts, b"after"], pa.binary()).slice(1, len(texts))):
+        lengths, got = classlm._words(part)
+        assert lengths.tolist() == [len(t.lower().split()) for t in texts] and got.to_pylist() == [w for t in texts for w in t.lower().split()]
+
+
 def test_class_lm_emissions_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(classlm, "CLUSTERED", 40)
     rng = random.Random(3)
