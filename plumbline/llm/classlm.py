@@ -10,7 +10,8 @@ document is a token in a class of its own, and the context of its first word. Tr
 by ``ALPHA``; a class's emissions get one more count for each of its words and one for all unseen ones.
 
 Texts are cut into words twice: to count them, and to store each text as the head's numbers with its rare words beside them; all
-later steps read the stored numbers. Counts and classes of rare words don't fit anywhere at scale, so each document sends its
+later steps read the stored numbers. Numbers lie in binary columns, a value for each text (see _binaries): Spark then moves texts,
+not words, and lists of them are put together in Python, a partition at a time. Counts and classes of rare words don't fit anywhere at scale, so each document sends its
 rare words, with the classes beside them, to a join, once: what comes back gives the transitions and then the scores. A rare word
 has less than one in ``HEAD`` of all tokens, so none is hot.
 
@@ -47,6 +48,10 @@ HELD_WORDS = 400_000
 HELD_PAIRS = 1_500_000
 #: Rows of one Arrow batch that a step sends, and texts whose numbers it takes at once.
 SENT, TEXTS = 80_000, 512
+#: Parts of the head's ids that move together to where contexts are put together, as a power of two.
+SLICE_BITS, ID_BITS = 12, 17
+#: A spot of a rare word: the classes before, of and after it (NONE after it: a rare word's, which has a spot of its own), its count.
+SPOT, NONE = np.dtype([("before", "u1"), ("mine", "u1"), ("after", "u1"), ("n", "<u4")]), 255
 #: The class in which rare words begin.
 RARE = CLASSES + 1
 #: The end of a document; no word has a space.
@@ -100,7 +105,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         if ends:
             yield from _added([*held, pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())})]).to_batches()
 
-    return rows.where("NOT held_out").select("body").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.where("NOT held_out").select("body").mapInArrow(_lean(counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def exchange(pairs: dict[tuple[int, int], int] | np.ndarray, n_words: int, n_fixed: int, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
@@ -220,6 +225,40 @@ class Model:
     vocabulary: int
 
 
+def _lean(step):
+    """step, which gives back the memory that Arrow holds in reserve when it ends: workers live on for other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """The bytes of values, cut at ``ends`` (which begin with 0)."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(col: pa.BinaryArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """How many values each row of _binaries has, and all of them in order."""
+    kind = np.dtype(kind)
+    ends = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
+    data = col.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.diff(ends) // kind.itemsize, flat.view(kind)
+
+
+def _halves(values: np.ndarray, ends: np.ndarray) -> list[pa.BinaryArray]:
+    """Whole numbers below 1 << 48 as two columns; the second is nearly all zeros, and so takes no room in Parquet."""
+    return [_binaries(part, ends) for part in ((values & 0xFFFF).astype("<u2"), (values >> 16).astype("<u4"))]
+
+
+def _whole(low: pa.BinaryArray, high: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    lengths, low_ = _values(low, "<u2")
+    return lengths, low_.astype(np.int64) | _values(high, "<u4")[1].astype(np.int64) << 16
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
@@ -234,7 +273,7 @@ def _fed(df: DataFrame, f, schema: str) -> DataFrame:
             for at in range(0, batch.num_rows, MOVED):
                 yield f(batch.slice(at, MOVED))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_lean(run), schema)
 
 
 def _summed(df: DataFrame, add, size: int, sliced: bool = False) -> np.ndarray:
@@ -248,23 +287,12 @@ def _summed(df: DataFrame, add, size: int, sliced: bool = False) -> np.ndarray:
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at].astype(np.int64))], names=["at", "n"])
 
-    got = df.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = df.mapInArrow(_lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
     out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def _entries(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, ctx, n) of each entry of a column of lists of (ctx, n)."""
-    lengths = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = col.flatten()
-    return np.repeat(np.arange(len(col)), lengths), flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-
-
-def _numbers(col: pa.Array, missing: int) -> np.ndarray:
-    return col.fill_null(missing).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _edge(counts: DataFrame, vocabulary: int) -> int:
     """The least count with which HEAD words or fewer are in the head; found by histograms, not by sorting."""
     if vocabulary <= HEAD:
@@ -331,7 +359,7 @@ def _learnt(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     of[-1] = CLASSES
 
     # The rest of the head: all words move at once, the first time from no class.
-    contexts = stored(_contexts(pairs, width, n_words), "lm-contexts")
+    contexts = stored(_contexts(pairs, width, n_words, True), "lm-contexts")
     for _ in range(HEAD_PASSES):
         now_counts = _summed(pairs, codes(of, n_all), n_all * n_all).reshape(n_all, n_all)
         shared = spark.sparkContext.broadcast((now_counts, of.copy()))
@@ -339,7 +367,8 @@ def _learnt(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
         def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, now = shared.value
             ids = batch.column(0).to_numpy().astype(np.int64)
-            word, ctx, count = _entries(batch.column(1))
+            lengths, ctx = _whole(batch.column(1), batch.column(2))
+            word, count = np.repeat(np.arange(len(ids)), lengths), _whole(batch.column(3), batch.column(4))[1]
             itself = ctx // 2 == ids[word]
             own = np.bincount(word[itself & (ctx % 2 == 0)], count[itself & (ctx % 2 == 0)], len(ids))
             on = ~itself & (now[ctx // 2] >= 0)
@@ -357,18 +386,18 @@ def _learnt(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     size = RARE + 1
 
     def sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        seq = _sequence(batch.column(0), known.value[0])[0]
+        seq = _sequence(batch.column(0), batch.column(1), known.value[0])[0]
         seq = np.where(seq < 0, RARE, seq)
         return seq[:-1] * size + seq[1:], np.ones(len(seq) - 1)
 
-    seen = _summed(train.select("ids"), sides, size * size, True).reshape(size, size)
+    seen = _summed(train.select("low", "high"), sides, size * size, True).reshape(size, size)
     rare = stored(_rare_classes(_spots(train, known), seen), "lm-rare")
-    spots = stored(_resolved(_spots(tokens, known), rare), "lm-spots")
     n_classes = CLASSES + SHAPES + 1
+    spots = stored(_resolved(_spots(tokens, known), rare, n_classes - 1), "lm-spots")
     place = np.append(np.arange(CLASSES), n_classes - 1)
 
     def steps_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        _, before, after, mine, _ = _runs(batch.column(0), n_classes - 1)
+        _, before, after, mine, _ = _runs(batch.column(0))
         out = np.concatenate([before * n_classes + mine, mine[after >= 0] * n_classes + after[after >= 0]])
         return out, np.ones(len(out))
 
@@ -391,7 +420,7 @@ def _learnt(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
 
 
 def _tokens(rows: DataFrame, head) -> DataFrame:
-    """(row, doc_id, held_out, ids, rare) of each row: its words as numbers of the head, -1 for others, which ``rare`` lists in order."""
+    """(row, doc_id, held_out, low, high, rare) of each row: one more than its words' numbers in the head, halved, 0 for others, which ``rare`` has in order with spaces between."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = head.value.get
@@ -403,21 +432,22 @@ def _tokens(rows: DataFrame, head) -> DataFrame:
             ids = number[coded.indices.to_numpy(zero_copy_only=False)]
             rare = ids < 0
             n_rare = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[rare], minlength=len(lengths))
-            ends, rare_ends = (pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()) for n in (lengths, n_rare))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(rare_ends, words.filter(pa.array(rare)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *lists], names=["row", "doc_id", "held_out", "ids", "rare"])
+            ends, rare_ends = (np.concatenate([[0], np.cumsum(n)]) for n in (lengths, n_rare))
+            others = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), words.filter(pa.array(rare)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *_halves(ids.astype(np.int64) + 1, ends), pc.binary_join(others, END)], names=["row", "doc_id", "held_out", "low", "high", "rare"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "body")
-    return numbered.mapInArrow(cut, f"row long, doc_id {id_type}, held_out boolean, ids array<int>, rare array<binary>")
+    return numbered.mapInArrow(_lean(cut), f"row long, doc_id {id_type}, held_out boolean, low binary, high binary, rare binary")
 
 
-def _sequence(ids: pa.ListArray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sequence(low: pa.BinaryArray, high: pa.BinaryArray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A batch's texts as one sequence of ``of`` of each word, the end's (of's last) before, between and after them; -1 for rare words.
 
     Also the places of the words in it, the text to which each place but the first belongs, and the words' numbers.
     """
-    lengths, flat = ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
+    lengths, flat = _whole(low, high)
+    flat -= 1
     text = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(len(flat)) + text + 1
     seq = np.full(len(flat) + len(lengths) + 1, of[-1], dtype=np.int64)
@@ -425,39 +455,62 @@ def _sequence(ids: pa.ListArray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return seq, at, np.repeat(np.arange(len(lengths)), lengths + 1), flat
 
 
-def _contexts(pairs: DataFrame, width: int, first: int) -> DataFrame:
-    """(id, xs) of the head words from id ``first`` on, xs being a list of (ctx, n) over the ids beside them.
+def _contexts(pairs: DataFrame, width: int, first: int, halved: bool = False) -> DataFrame:
+    """(id, xs) of the head words from id ``first`` on, xs being a list of (ctx, n) over the ids beside them; ``halved``: as _halves of both.
 
-    An id, a ctx and a count share one long on the way to the partition of the id, which then holds all of the id's entries.
+    An id, a ctx and a count share one long on the way to the partition of the id's slice, which then holds all of the id's entries.
     """
+    rest = ID_BITS - SLICE_BITS
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            e = np.sort(np.concatenate(held))
+            held, size = [], 0
+            slices = e >> 46 + rest
+            begins = np.flatnonzero(np.diff(slices, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(slices[begins], pa.int32()), _binaries(e, np.append(begins, len(e)))], names=["slice", "e"])
+
         for batch in batches:
             code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             a, b = code // width, code % width
             for x, ctx in ((a, b * 2), (b, a * 2 + 1)):
                 on = (x >= first) & (x < width - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[on] << 46 | ctx[on] << 27 | n[on])], names=["e"])
+                # The slice comes first, so that sorting puts it together.
+                x = (x & ((1 << SLICE_BITS) - 1)) << rest | x >> SLICE_BITS
+                held.append(x[on] << 46 | ctx[on] << 27 | n[on])
+                size += len(held[-1])
+            if size > HELD_PAIRS:
+                yield from sent()
+        if size:
+            yield from sent()
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [batch.column(0).to_numpy() for batch in batches]
+        held = [_values(batch.column(1), np.int64)[1] for batch in batches]
         if not held:
             return
-        e = np.sort(np.concatenate(held))
+        e = np.concatenate(held)
         held.clear()
+        e.sort()
         key = e >> 27
         at = np.flatnonzero(np.diff(key, prepend=-1))
         n, key = np.add.reduceat(e & ((1 << 27) - 1), at), key[at]
         ids = key >> 19
         begins = np.append(np.flatnonzero(np.diff(ids, prepend=-1)), len(ids))
-        entries = pa.StructArray.from_arrays([pa.array((key & ((1 << 19) - 1)).astype(np.int32)), pa.array(n)], names=["ctx", "n"])
+        ids = (ids & ((1 << rest) - 1)) << SLICE_BITS | ids >> rest
         for k in range(0, len(begins) - 1, MOVED):
             part = begins[k : k + MOVED + 1]
-            xs = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), entries.slice(part[0], part[-1] - part[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part[:-1]]), xs], names=["id", "xs"])
+            ctx, count, ends = key[part[0] : part[-1]] & ((1 << 19) - 1), n[part[0] : part[-1]], part - part[0]
+            if halved:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part[:-1]]), *_halves(ctx, ends), *_halves(count, ends)], names=["id", "low", "high", "n_low", "n_high"])
+            else:
+                entries = pa.StructArray.from_arrays([pa.array(ctx, pa.int32()), pa.array(count)], names=["ctx", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part[:-1]]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=["id", "xs"])
 
-    rows = pairs.mapInArrow(turned, "e long")
-    return rows.repartition(F.shiftright("e", 46)).mapInArrow(grouped, "id long, xs array<struct<ctx:int,n:long>>")
+    rows = pairs.mapInArrow(_lean(turned), "slice int, e binary")
+    return rows.repartition("slice").mapInArrow(_lean(grouped), "id long, low binary, high binary, n_low binary, n_high binary" if halved else "id long, xs array<struct<ctx:int,n:long>>")
 
 
 def _bigrams(train: DataFrame, n_head: int) -> DataFrame:
@@ -480,7 +533,7 @@ def _bigrams(train: DataFrame, n_head: int) -> DataFrame:
 
         ids = np.arange(width)
         for batch in _sliced(batches):
-            seq = _sequence(batch.column(0), ids)[0]
+            seq = _sequence(batch.column(0), batch.column(1), ids)[0]
             on = (seq[:-1] >= 0) & (seq[1:] >= 0)
             held.append(seq[:-1][on] * width + seq[1:][on])
             size += len(held[-1])
@@ -489,7 +542,7 @@ def _bigrams(train: DataFrame, n_head: int) -> DataFrame:
         if held:
             yield from sent()
 
-    return train.select("ids").mapInArrow(counted, "code long, n long")
+    return train.select("low", "high").mapInArrow(_lean(counted), "code long, n long")
 
 
 def _spots(tokens: DataFrame, known) -> DataFrame:
@@ -503,9 +556,9 @@ def _spots(tokens: DataFrame, known) -> DataFrame:
         extra, place = pa.array(list(open_.values()), pa.binary()), np.zeros(len(of), dtype=np.int64)
         place[list(open_)] = np.arange(len(open_))
         for batch in _sliced(batches):
-            seq, at, text, flat = _sequence(batch.column(2), of)
+            seq, at, text, flat = _sequence(batch.column(2), batch.column(3), of)
             hole = np.flatnonzero(seq[at] < 0)
-            rare = batch.column(3).flatten()
+            rare = _words(batch.column(4))[1]
             number = np.where(flat[hole] < 0, np.cumsum(flat[hole] < 0) - 1, len(rare) + place[flat[hole]])
             words = pa.concat_arrays([rare, extra]) if len(extra) else rare
             begins = np.searchsorted(text[at - 1], np.arange(batch.num_rows))
@@ -516,7 +569,7 @@ def _spots(tokens: DataFrame, known) -> DataFrame:
                 row = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(x, pa.int32()) for x in spot], words.take(pa.array(number[k : k + SENT]))], names=["row", "held_out", "pos", "before", "after", "word"])
 
-    return tokens.select("row", "held_out", "ids", "rare").mapInArrow(found, "row long, held_out boolean, pos int, before int, after int, word binary")
+    return tokens.select("row", "held_out", "low", "high", "rare").mapInArrow(_lean(found), "row long, held_out boolean, pos int, before int, after int, word binary")
 
 
 def _rare_classes(spots: DataFrame, seen: np.ndarray) -> DataFrame:
@@ -524,10 +577,6 @@ def _rare_classes(spots: DataFrame, seen: np.ndarray) -> DataFrame:
     wide = RARE + 1
     shared = spots.sparkSession.sparkContext.broadcast(seen)
     code = ((F.col("before") + 1) * wide + F.col("after") + 1).cast("int").alias("code")
-    # One shuffle for both sums: a word's places are all in its partition, and no rare word has many.
-    here = spots.select("word", code).repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
-    beside = here.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("code", "n")).alias("xs"))
-
     def best(word: np.ndarray, code: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
         before, after = code // wide - 1, code % wide - 1
         ctx = np.concatenate([np.where(before < 0, RARE, before) * 2 + 1, np.where(after < 0, RARE, after) * 2]).astype(np.int64)
@@ -535,42 +584,73 @@ def _rare_classes(spots: DataFrame, seen: np.ndarray) -> DataFrame:
         return moves(shared.value, none, np.concatenate([word, word]), ctx, np.concatenate([count, count]), np.zeros(size), none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.full(wide * wide, -1)  # of words that occur once: their class rests on their place only
-        for whole in batches:
-            for batch in (whole.slice(at, MOVED) for at in range(0, whole.num_rows, MOVED)):
-                word, code, count = _entries(batch.column(2))
-                once = batch.column(1).to_numpy() == 1
-                out = np.zeros(len(once), dtype=np.int64)
-                single = code[once[word]]
-                new = np.unique(single[known[single] < 0])
-                if len(new):
-                    known[new] = best(np.arange(len(new)), new, np.ones(len(new)), len(new))
-                out[once] = known[single]
-                if not once.all():
-                    on = ~once[word]
-                    place = np.cumsum(~once) - 1
-                    out[~once] = best(place[word[on]], code[on], count[on], int((~once).sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["word", "n", "class"])
-
-    return beside.mapInArrow(run, "word binary, n long, class long")
-
-
-def _resolved(spots: DataFrame, rare: DataFrame) -> DataFrame:
-    """(row, held_out, spots) of each text with rare words: pos, before, after, class and count of each."""
+        held = pa.Table.from_batches(batches, schema).combine_chunks()
+        if not held.num_rows:
+            return
+        coded = held["word"].chunk(0).dictionary_encode()
+        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (wide * wide) + held["code"].to_numpy()
+        words = coded.dictionary
+        del held, coded
+        key, count = np.unique(key, return_counts=True)
+        word, code = key // (wide * wide), key % (wide * wide)
+        total = np.bincount(word, count, len(words)).astype(np.int64)
+        out = np.zeros(len(words), dtype=np.int64)
+        # Words that occur once: their class rests on their place only.
+        once = (total == 1)[word]
+        new, which = np.unique(code[once], return_inverse=True)
+        for at in range(0, len(new), MOVED):
+            part = new[at : at + MOVED]
+            new[at : at + MOVED] = best(np.arange(len(part)), part, np.ones(len(part)), len(part))
+        out[word[once]] = new[which]
+        word, code, count = word[~once], code[~once], count[~once]
+        several = np.flatnonzero(total > 1)
+        for at in range(0, len(several), MOVED):
+            part = several[at : at + MOVED]
+            mine = slice(*np.searchsorted(word, (part[0], part[-1] + 1)))
+            out[part] = best(np.searchsorted(part, word[mine]), code[mine], count[mine], len(part))
+        for at in range(0, len(words), SENT):
+            part = slice(at, at + SENT)
+            yield pa.RecordBatch.from_arrays([words[part], pa.array(total[part]), pa.array(out[part])], names=["word", "n", "class"])
+
+    # A word's places are all in its partition, and no rare word has many.
+    schema = pa.schema([("word", pa.binary()), ("code", pa.int32())])
+    return spots.select("word", code).repartition("word").mapInArrow(_lean(run), "word binary, n long, class long")
+
+
+def _resolved(spots: DataFrame, rare: DataFrame, end: int) -> DataFrame:
+    """(row, held_out, spots) of each text with rare words: SPOTs in order; ``end`` is the end's class."""
     unseen = CLASSES + F.expr(f"crc32(substring(word, greatest(1, length(word) - 2), 3)) % {SHAPES}")  # shape() of the word
-    spot = F.struct("pos", "before", "after", F.coalesce(F.col("class"), unseen).cast("int").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
-    return spots.join(rare, "word", "left").groupBy("row").agg(F.first("held_out").alias("held_out"), F.collect_list(spot).alias("spots"))
+    fields = ("row", "held_out", "pos", "before", "after")
+    found = spots.join(rare, "word", "left").select(*fields, F.coalesce(F.col("class"), unseen).cast("int").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
 
-
-def _runs(lists: pa.ListArray, end: int) -> tuple[np.ndarray, ...]:
-    """(text, before, after, class, n) of each spot in order; ``before`` is -1 nowhere, as the spot ahead gives it; ``end`` is the end's class."""
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    flat = lists.flatten()
-    pos, before, after, of, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
-    order = np.lexsort((pos, doc))
-    before, after, of, n = before[order], after[order], of[order], n[order]
-    before, after = np.where(before == CLASSES, end, before), np.where(after == CLASSES, end, after)
-    return doc[order], np.where(before < 0, np.concatenate([[0], of[:-1]]), before), after, of, n
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        row, out, pos, before, after, mine, n = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        if n.max() > np.iinfo("u4").max:
+            raise OverflowError("a rare word's count has more than 32 bits")
+        order = np.lexsort((pos, row))
+        row, out = row[order], out[order]
+        all_ = np.empty(len(order), SPOT)
+        all_["mine"], all_["n"] = mine[order], n[order]
+        before, after = np.where(before == CLASSES, end, before)[order], np.where(after == CLASSES, end, after)[order]
+        # Before a spot of -1 is the spot ahead of it.
+        all_["before"], all_["after"] = np.where(before < 0, np.concatenate([[0], all_["mine"][:-1]]), before), np.where(after < 0, NONE, after)
+        begins = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        for k in range(0, len(begins) - 1, TEXTS):
+            part = begins[k : k + TEXTS + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(row[part[:-1]]), pa.array(out[part[:-1]]), _binaries(all_[part[0] : part[-1]], part - part[0])], names=["row", "held_out", "spots"])
+
+    return found.repartition("row").mapInArrow(_lean(together), "row long, held_out boolean, spots binary")
+
+
+def _runs(spots: pa.BinaryArray) -> tuple[np.ndarray, ...]:
+    """(text, before, after, class, n) of each spot in order; ``after`` is -1 where a spot follows."""
+    lengths, flat = _values(spots, SPOT)
+    before, after, mine, n = (flat[k].astype(np.int64) for k in ("before", "after", "mine", "n"))
+    return np.repeat(np.arange(len(lengths)), lengths), before, np.where(after == NONE, -1, after), mine, n
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -583,7 +663,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         known, logs, steps, below = shared.value
         for batch in _sliced(batches):
             size = batch.num_rows
-            seq, at, text, flat = _sequence(batch.column(3), known)
+            seq, at, text, flat = _sequence(batch.column(3), batch.column(4), known)
             gain = np.full(len(seq), logs[-1])
             gain[at] = np.where(flat < 0, 0, logs[flat])
             right, left = seq[1:], seq[:-1]
@@ -595,14 +675,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, steps, below = shared.value
         for batch in _sliced(batches):
-            doc, before, after, of, n = _runs(batch.column(1), len(below) - 1)
+            doc, before, after, of, n = _runs(batch.column(1))
             step = steps[before, of] + np.where(after >= 0, steps[of, after], 0)
             sums = [np.bincount(doc, x, batch.num_rows) for x in (n > 0, np.log10(n + 1.0), step, below[of])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.float64()) for x in sums]], names=["r_row", *[f"r_{c}" for c in _SUMS[1:]]])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    mine = tokens.select("row", "doc_id", "held_out", "ids").mapInArrow(scored, f"row long, doc_id {id_type}, held_out boolean, " + ", ".join(f"{c} double" for c in _SUMS))
-    theirs = spots.select("row", "spots").mapInArrow(added, "r_row long, " + ", ".join(f"r_{c} double" for c in _SUMS[1:]))
+    mine = tokens.select("row", "doc_id", "held_out", "low", "high").mapInArrow(_lean(scored), f"row long, doc_id {id_type}, held_out boolean, " + ", ".join(f"{c} double" for c in _SUMS))
+    theirs = spots.select("row", "spots").mapInArrow(_lean(added), "r_row long, " + ", ".join(f"r_{c} double" for c in _SUMS[1:]))
     joined = mine.join(theirs, F.col("row") == F.col("r_row"), "left")
     one = joined.select("doc_id", "held_out", F.col("n_tokens").cast("bigint").alias("n"), *[(F.col(c) + F.coalesce(f"r_{c}", F.lit(0.0))).alias(c) for c in _SUMS[1:]])
     width = float(np.log10(model.train_tokens + model.vocabulary + 1))

@@ -243,6 +243,19 @@ def test_class_lm_contexts_hold_the_largest_ids(spark):
     assert got == {top: sorted([(end * 2, 5), (end * 2 + 1, 5), (top * 2, 6), (top * 2 + 1, 6), (7, classlm.HELD_PAIRS)])}
 
 
+def test_class_lm_moves_texts_not_words(spark, docs):
+    rows_ = classlm._rows(docs, "doc_id", "text")
+    _, _, tokens, spots = classlm._learnt(rows_)
+    pairs = spark.createDataFrame([(1, 1)], "code long, n long")
+    for df in (tokens, spots, classlm._contexts(pairs, classlm.HEAD + 1, 4, True)):
+        assert not any(kind.startswith(("array", "struct")) for _, kind in df.dtypes)
+    values, ends = np.array([0, 65535, 65536, 1, (1 << 48) - 1, 7]), np.array([0, 0, 2, 2, 5, 6])
+    low, high = classlm._halves(values, ends)
+    for a, b in ((0, 5), (1, 3), (3, 5), (0, 1), (2, 2)):
+        lengths, got = classlm._whole(low[a:b], high[a:b])
+        assert lengths.tolist() == np.diff(ends[a : b + 1]).tolist() and got.tolist() == values[ends[a] : ends[b]].tolist()
+
+
 def test_moves_raise_likelihood_as_said():
     rng = random.Random(5)
     of = [rng.randrange(4) for _ in range(12)] + [classlm.CLASSES]
