@@ -42,11 +42,20 @@ BROADCAST_TOKENS = 200_000
 BITMAP_LONGS = 1 << 17
 
 
-def _words(text: Column) -> Column:
-    """The words of a line in lower case. Splitting at single spaces is much cheaper than at a class, and nearly all texts need no more."""
+def _pieces(text: Column) -> Column:
+    """The words of a line in lower case, with empty ones. Splitting at single spaces is much cheaper than at a class, and nearly all texts need no more."""
     low = F.lower(text)
     odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
-    return F.array_remove(F.when(odd, F.split(low, SPACE)).otherwise(F.split(low, " ")), "")
+    return F.when(odd, F.split(low, SPACE)).otherwise(F.split(low, " "))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(_pieces(text), "")
+
+
+def _hashes(text: Column) -> Column:
+    """The hashes of a line's distinct words. Empty pieces go last, as one hash: taking them from an array of strings copies each."""
+    return F.array_remove(F.array_distinct(F.transform(_pieces(text), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _bucket(h: Column) -> Column:
@@ -97,10 +106,11 @@ def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     turns = F.split(F.lit(rarity(docs, text)), ",").cast("array<bigint>")
 
     def key(h: Column) -> Column:
-        return h.bitwiseXOR(turns[_bucket(h)])
+        # Never null, and said to be: only then are keys sorted as an array of longs, not as objects.
+        return h.bitwiseXOR(F.coalesce(turns[_bucket(h)], F.lit(0).cast("bigint")))
 
     # Words are hashed once, in a step of their own: a lambda that names its argument twice computes it twice.
-    hashed = _lines(docs, doc_id, text).select("doc", "rid", "line", F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w))).alias("hashes"))
+    hashed = _lines(docs, doc_id, text).select("doc", "rid", "line", _hashes(F.col("t")).alias("hashes"))
     rows = hashed.select("doc", "rid", "line", F.sort_array(F.transform("hashes", key)).alias("keys"))
     rows = rows.select("doc", "rid", "line", "keys", F.size("keys").alias("n"))
     zero = F.lit(0).cast("bigint")

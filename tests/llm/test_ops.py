@@ -134,6 +134,17 @@ def test_line_dedup_computes_words_once(spark, docs):
     assert got[2].text == " " and got[2].removed_lines == 1 and got[3].text is None
 
 
+def test_line_dedup_sorts_longs(spark):
+    texts = [(1, "b  a b\n\tC a\x0b\x0bb \n c  B a \na\n  \t"), (2, "x"), (3, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    out = linededup.prefixes(df, "doc_id", "text")
+    assert not out.schema["prefix"].dataType.containsNull
+    got = {(r.doc, r.line): r for r in out.collect()}
+    assert {k: r.n for k, r in got.items()} == {(1, 0): 2, (1, 1): 3, (1, 2): 3, (1, 3): 1, (2, 0): 1}
+    assert (got[1, 1].h1, got[1, 1].h2, got[1, 1].parity) == (got[1, 2].h1, got[1, 2].h2, got[1, 2].parity)
+    assert all(r.prefix == sorted(r.prefix) and len(set(r.prefix)) == len(r.prefix) for r in got.values())
+
+
 def shingled(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
