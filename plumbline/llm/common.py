@@ -145,7 +145,8 @@ _TABLES: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """The powers of the polynomial's base and of its inverse modulo 2**64, at least n of each."""
     if not _TABLES or len(_TABLES[0]) < n:
-        size, made = max(n, CHUNK_BYTES), []
+        # In powers of two: longer texts then seldom make them anew, and short ones leave them small in each worker.
+        size, made = 1 << max(18, (n - 1).bit_length()), []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

@@ -43,6 +43,8 @@ STAR_ROUNDS = 2
 FAMILIES = 4
 #: Minima of the second signature, and its floor, 4.3 standard errors (0.0115 at 0.75) low.
 WIDE, WIDE_FLOOR = 2048, 0.70
+#: Bytes of text hashed at a time: about 100 bytes of arrays stand for each, and workers keep what they once had.
+PIECE_BYTES = 1 << 18
 
 _MULTIPLY = random_words(WIDE, 1) | np.uint64(1)
 _ADD = random_words(WIDE, 2)
@@ -86,7 +88,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, PIECE_BYTES):
                 sets = shingles(piece.column(1))
                 full = [k for k, s in enumerate(sets) if len(s)]
                 n = len(sets)
@@ -140,7 +142,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece in pieces(batch, 3):
+            for piece in pieces(batch, 3, PIECE_BYTES):
                 ours, out = piece.column(0).to_pylist(), []
                 others = shingles(piece.column(3))
                 for k, a in enumerate(ours):
@@ -203,7 +205,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFra
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, PIECE_BYTES):
                 same = [hashlib.md5(s.tobytes()).digest() == d.as_py() for s, d in zip(shingles(piece.column(1)), piece.column(2))]
                 yield piece.select(["node", "body"]).filter(pa.array(same, pa.bool_()))
 
@@ -238,7 +240,7 @@ def _wide(texts: DataFrame) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, PIECE_BYTES):
                 longs = packed(minima(shingles(piece.column(1)), WIDE)).tolist()
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(longs, pa.list_(pa.int64()))], names=["node", "wide"])
 

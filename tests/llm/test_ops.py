@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, classlm, decontaminate, extract, linededup, mixing, neardup, quality, queries, secrets, warc
+from plumbline.llm import chat, classlm, common, decontaminate, extract, linededup, mixing, neardup, quality, queries, secrets, warc
 from plumbline.llm.common import shared_dir, table
 
 D = "/root/testdata/sf0.001"
@@ -145,6 +146,29 @@ def test_line_dedup_sorts_longs(spark):
     assert all(r.prefix == sorted(r.prefix) and len(set(r.prefix)) == len(r.prefix) for r in got.values())
 
 
+def test_near_dup_signatures_take_little_memory(spark, monkeypatch):
+    found = []
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            found.append(f)
+
+    monkeypatch.setattr(common, "_TABLES", [])
+    neardup.signatures(Rows())
+    texts = [" ".join(f"w{k}x{j}" for j in range(4000)) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], names=["doc_id", "body"])
+    tracemalloc.start()
+    try:
+        n = sum(len(b) for b in found[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 200 and peak < 40 << 20
+
+
 def shingled(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
