@@ -94,7 +94,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # In two steps: else each line would carry its whole text past the generator.
     split = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.xxhash64(body).alias("rid"), F.split(body, "\n", -1).alias("ts"))
     # The outer form and a filter on the line itself: the plain form, or a filter on the words, has its input computed once more.
-    return split.select("doc", "rid", F.posexplode_outer("ts").alias("line", "t")).where(F.length(F.btrim("t", F.lit(BLANK))) > 0)
+    return split.select("doc", "rid", F.posexplode_outer("ts").alias("line", "t")).where(F.ltrim("t", F.lit(BLANK)) != "")
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -194,8 +194,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str
     here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))
     worded = stored(some.join(lines, here).select("h1", "h2", "first", F.array_distinct(_words(F.col("t"))).alias("words")).dropDuplicates(["h1", "h2"]), "line-words")
     both = pairs.join(_named(worded, "p"), F.col("a") == F.col("p_h1")).join(_named(worded, "q"), F.col("b") == F.col("q_h1"))
-    common = F.size(F.array_intersect("p_words", "q_words"))
-    similar = both.where(DEN * common >= NUM * (F.size("p_words") + F.size("q_words") - common))
+    # The intersection is named once: a filter computes what it names twice twice.
+    similar = both.where((NUM + DEN) * F.size(F.array_intersect("p_words", "q_words")) >= NUM * (F.size("p_words") + F.size("q_words")))
     later = F.when(F.col("p_first") < F.col("q_first"), F.struct(F.col("q_h1").alias("h1"), F.col("q_h2").alias("h2"))).when(F.col("q_first") < F.col("p_first"), F.struct(F.col("p_h1").alias("h1"), F.col("p_h2").alias("h2")))
     return similar.select(later.alias("l")).where("l IS NOT NULL").select("l.h1", "l.h2").distinct()
 
@@ -206,7 +206,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     place = F.struct("doc", "rid", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("lines"))
     classes = stored(classes, "line-classes")
-    gone = matches(docs, classes, doc_id, text)
+    # Read twice from here on, so stored: else each use would verify all pairs again.
+    gone = stored(matches(docs, classes, doc_id, text), "line-gone")
     # Only classes that go or have several lines lose any.
     maybe_gone = _maybe(gone.select("h1"))
     touched = classes.where((F.col("lines") > 1) | maybe_gone(F.col("h1"))).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first")

@@ -146,6 +146,14 @@ def test_line_dedup_sorts_longs(spark):
     assert all(r.prefix == sorted(r.prefix) and len(set(r.prefix)) == len(r.prefix) for r in got.values())
 
 
+def test_line_dedup_verifies_pairs_once(spark, docs, monkeypatch):
+    plans, stored = [], linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, what: plans.append((what, df._jdf.queryExecution().optimizedPlan().toString())) or stored(df, what))
+    linededup.dedup_lines(docs)
+    # Late pairs are verified where their matches are stored, and nowhere else; the filter names the intersection once.
+    assert [(what, plan.count("array_intersect(")) for what, plan in plans if what != "line-matches" and "array_intersect(" in plan] == [("line-gone", 1)]
+
+
 def test_near_dup_signatures_take_little_memory(spark, monkeypatch):
     found = []
 
