@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,14 @@ def run_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    return stored_plain(df, what, [])
+
+
+def stored_plain(df: DataFrame, what: str, plain: Iterable[str]) -> DataFrame:
+    """As ``stored``. ``plain`` names Parquet columns of values that seldom recur: a dictionary costs a look-up for each, both ways, and saves nothing."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,10 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, stored, stored_plain
 
 NUM, DEN = 9, 10
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,6 +41,8 @@ HOT, CENTRES = 512, 8
 BROADCAST_TOKENS = 200_000
 #: Longs of the bitmaps that say which rows may have a partner: a megabyte, whatever the corpus. Full ones only stop helping.
 BITMAP_LONGS = 1 << 17
+#: Parquet columns of lines and classes that are nearly all different.
+UNIQUE = ["h1", "h2", "parity"]
 
 
 def _pieces(text: Column) -> Column:
@@ -71,21 +74,18 @@ def _every(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("slot", F.col("v").cast("bigint").alias("v")).union(rows.sparkSession.range(0, size, 1, 1).select("id", F.lit(0).cast("bigint")))
 
 
-def rarity(docs: DataFrame, text: str) -> str:
+def rarity(hashed: DataFrame) -> str:
     """For each bucket of words, comma-joined, what turns a hash by XOR into a sort key: its top bits become the bucket's rank by count.
 
-    The ranks of BUCKETS buckets come to the driver, whatever the corpus. Only the join's order rests on them, so words are cut
-    at spaces and line ends only, in one step; words beside other white space count under another bucket.
+    The ranks of BUCKETS buckets come to the driver, whatever the corpus. Each line counts once for each of its words.
     """
-    flat = F.replace(F.lower(F.col(f"`{text}`")), F.lit("\n"), F.lit(" "))
-    # The outer form: for the plain one the optimiser adds a filter that splits each text once more. A null isn't a word either.
-    words = docs.select(F.explode_outer(F.split(flat, " ")).alias("w")).where("w != ''")
-    found = words.select(_bucket(F.xxhash64("w")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("v"))
+    # The outer form: for the plain one the optimiser adds a filter on the array.
+    found = hashed.select(F.explode_outer("hashes").alias("h")).select(_bucket(F.col("h")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("v"))
     counts = _every(found, BUCKETS).groupBy("slot").agg(F.sum("v").alias("n"))
     ranked = counts.select("slot", (F.row_number().over(Window.orderBy("n", "slot")) - 1).alias("rank"))
     # Keys are signed: the lowest rank has the lowest top bits.
     turn = F.call_function("shiftleft", (F.col("rank") - BUCKETS // 2).cast("bigint").bitwiseXOR(F.col("slot")), F.lit(64 - BUCKET_BITS))
-    return ranked.select(F.struct("slot", turn.alias("v")).alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["v"].cast("string")), ",").alias("s")).first()["s"]
+    return _dense(ranked.select("slot", turn.cast("string").alias("v"))).select(F.array_join("dense", ",").alias("s")).first()["s"]
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -97,20 +97,26 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return split.select("doc", "rid", F.posexplode_outer("ts").alias("line", "t")).where(F.ltrim("t", F.lit(BLANK)) != "")
 
 
-def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def hashed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, rid, line, hashes) of each line with a word; hashes are its distinct words'."""
+    return _lines(docs, doc_id, text).select("doc", "rid", "line", _hashes(F.col("t")).alias("hashes"))
+
+
+def prefixes(docs: DataFrame, doc_id: str, text: str, hashed: DataFrame | None = None) -> DataFrame:
     """(doc, rid, line, h1, h2, n, parity, prefix) of each line with a word.
 
-    (h1, h2) names the set; prefix holds the first tokens, rare ones first, as sort keys.
+    (h1, h2) names the set; prefix holds the first tokens, rare ones first, as sort keys. ``hashed`` are the ``hashed_lines`` of docs,
+    which are read twice: kept ones spare the second cut into words.
     """
+    # Words are hashed in a step of their own: a lambda that names its argument twice computes it twice.
+    hashed = hashed_lines(docs, doc_id, text) if hashed is None else hashed
     # A literal that the optimiser folds into an array of longs.
-    turns = F.split(F.lit(rarity(docs, text)), ",").cast("array<bigint>")
+    turns = F.split(F.lit(rarity(hashed)), ",").cast("array<bigint>")
 
     def key(h: Column) -> Column:
         # Never null, and said to be: only then are keys sorted as an array of longs, not as objects.
         return h.bitwiseXOR(F.coalesce(turns[_bucket(h)], F.lit(0).cast("bigint")))
 
-    # Words are hashed once, in a step of their own: a lambda that names its argument twice computes it twice.
-    hashed = _lines(docs, doc_id, text).select("doc", "rid", "line", _hashes(F.col("t")).alias("hashes"))
     rows = hashed.select("doc", "rid", "line", F.sort_array(F.transform("hashes", key)).alias("keys"))
     rows = rows.select("doc", "rid", "line", "keys", F.size("keys").alias("n"))
     zero = F.lit(0).cast("bigint")
@@ -126,12 +132,17 @@ def prefixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _dense(rows: DataFrame) -> DataFrame:
+    """The array, in one row, of v by slot."""
+    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("dense"))
+
+
 def _maybe(hashes: DataFrame) -> Callable[[Column], Column]:
     """Whether a hash may be among those in the only column of ``hashes``: a test on a bitmap, so that others needn't move to a join."""
     s = F.col(hashes.columns[0])
     at = hashes.select(F.shiftrightunsigned(s, 6).bitwiseAND(F.lit(BITMAP_LONGS - 1)).alias("slot"), _bit(s.bitwiseAND(F.lit(63))).alias("v"))
     words = _every(at, BITMAP_LONGS).groupBy("slot").agg(F.bit_or("v").alias("v"))
-    bitmap = stored(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("dense")), "line-bitmap").scalar()
+    bitmap = stored(_dense(words), "line-bitmap").scalar()
     return lambda h: F.get(bitmap, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP_LONGS - 1)).cast("int")).bitwiseAND(_bit(h.bitwiseAND(F.lit(63)))) != 0
 
 
@@ -202,10 +213,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with ``text`` less the lines that an earlier line matches, and ``removed_lines``, how many they were."""
-    lines = stored(prefixes(docs, doc_id, text), "lines")
+    # Read twice, then not again: kept as Spark's own blocks, of which a lost executor costs a new cut. As Parquet, long arrays take about as much as that.
+    hashed = hashed_lines(docs, doc_id, text).persist(StorageLevel.DISK_ONLY)
+    # Stored, not kept: else each later plan would hold the table of ranks, in the driver's memory.
+    lines = stored_plain(prefixes(docs, doc_id, text, hashed), "lines", UNIQUE)
+    hashed.unpersist(True)
     place = F.struct("doc", "rid", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("lines"))
-    classes = stored(classes, "line-classes")
+    classes = stored_plain(classes, "line-classes", UNIQUE)
     # Read twice from here on, so stored: else each use would verify all pairs again.
     gone = stored(matches(docs, classes, doc_id, text), "line-gone")
     # Only classes that go or have several lines lose any.

@@ -154,6 +154,16 @@ def test_line_dedup_verifies_pairs_once(spark, docs, monkeypatch):
     assert [(what, plan.count("array_intersect(")) for what, plan in plans if what != "line-matches" and "array_intersect(" in plan] == [("line-gone", 1)]
 
 
+def test_line_dedup_cuts_words_once_for_counts_and_keys(spark, docs, monkeypatch):
+    plans, rarity, before = [], linededup.rarity, len(spark.sparkContext._jsc.getPersistentRDDs())
+    monkeypatch.setattr(linededup, "rarity", lambda df, *more: plans.append(df._jdf.queryExecution().withCachedData().toString()) or rarity(df, *more))
+    whole = linededup.dedup_lines(docs).collect()
+    # Counts come from the kept hashes, and nothing that was kept on the way stays.
+    assert len(plans) == 1 and plans[0].startswith("InMemoryRelation") and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    monkeypatch.setattr(linededup, "HOT", 2)
+    assert sorted(map(str, linededup.dedup_lines(docs).collect())) == sorted(map(str, whole))
+
+
 def test_near_dup_signatures_take_little_memory(spark, monkeypatch):
     found = []
 
